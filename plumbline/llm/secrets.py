@@ -159,5 +159,27 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", reach: int = REACH) -> DataFrame:
+    """``docs`` with every reported span replaced; all rows and columns stay, ``chars_col`` follows where it exists."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redact(v.as_py(), reach) for v in batch.column(names.index(text_col))]
+            cols = list(batch.columns)
+            cols[names.index(text_col)] = pa.array(texts, batch.column(names.index(text_col)).type)
+            if chars_col in names:
+                at = names.index(chars_col)
+                old, new = batch.column(names.index(text_col)), cols[names.index(text_col)]
+                lengths = [
+                    n if a == b else len(b or "")
+                    for n, a, b in zip(cols[at].to_pylist(), old.to_pylist(), new.to_pylist(), strict=True)
+                ]
+                cols[at] = pa.array(lengths, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
