@@ -18,6 +18,7 @@ from plumbline.llm.staging import Workspace
 SPACE = r"[\x20\x09-\x0D]+"
 SKETCH_K = 4096
 LEAST_ROWS = 100
+BROADCAST_GROUPS = 20_000
 MILLION = 1_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -65,8 +66,7 @@ def _repeat_words(hashes: Column) -> Column:
         same = lambda s, k, d: F.coalesce(F.get(ranked, k + d)["h"] == s["h"], F.lit(False))
         return F.sort_array(F.transform(F.filter(ranked, lambda s, k: same(s, k, -1) | same(s, k, 1)), lambda s: s["i"]))
 
-    # the one-element transform binds the sorted array once
-    spots = F.transform(F.array(placed), repeated)[0]
+    spots = _bind(placed, repeated)
     covered = F.aggregate(
         spots,
         F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")),
@@ -75,19 +75,26 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(covered)
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus the base counts under one struct column ``_q``."""
+    """``docs`` plus the base counts under one struct column ``_q``; stage it before taking fields from it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    parts = docs.withColumn("_w", _words(text)).withColumn("_h", _windows(F.col("_w")))
-    counts = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a)))[0].cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_h")).cast("long").alias("n_repeat_words"),
-    )
-    return parts.withColumn("_q", counts).drop("_w", "_h")
+
+    def counts(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            _bind(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+            _bind(_windows(words), _repeat_words).cast("long").alias("n_repeat_words"),
+        )
+
+    return docs.withColumn("_q", _bind(_words(text), counts))
 
 
 def base_failed(q: str = "_q") -> Column:
@@ -144,6 +151,11 @@ def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "s
     )
 
 
+def _small(limits: DataFrame) -> DataFrame:
+    """Limits to be broadcast if counted few; else Spark joins them by shuffle, splitting hot groups."""
+    return F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
+
+
 def judged(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", q: str = "_q") -> DataFrame:
     """``measured`` plus ``_base_failed`` and ``_kept``; a row without limits (its group has no row that passes) fails the base."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -174,7 +186,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work
     work = work or Workspace(docs.sparkSession, "quality")
     narrow = docs.select(F.col(id_col).alias("_id"), "lang", "source", F.col(text_col).cast("string").alias("_text"))
     measured = work.stage(with_measures(narrow, "_text").drop("_text"), "measured")
-    return judged(measured, thresholds(measured)).select(
+    limits = work.stage(thresholds(measured), "limits")
+    return judged(measured, _small(limits)).select(
         F.col("_id").alias(id_col),
         *[F.col(f"_q.{c}").alias(c) for c in BASE],
         F.col("_base_failed").alias("base_failed"),
@@ -185,9 +198,9 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work
 def keep_good(docs: DataFrame, text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they are."""
     work = work or Workspace(docs.sparkSession, "quality")
-    measured = with_measures(docs, text_col)
+    measured = work.stage(with_measures(docs, text_col), "measured")
     limits = work.stage(thresholds(measured), "limits")
-    return judged(measured, limits).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    return judged(measured, _small(limits)).where("_kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
