@@ -92,6 +92,17 @@ def canonical_role(role: Column) -> Column:
     return out
 
 
+def _message(role: str, body: str):
+    """A list element with these fields as a canonical turn."""
+
+    def turn(m: Column) -> Column:
+        return F.struct(
+            canonical_role(F.coalesce(m[role], F.lit(""))).alias("role"), F.coalesce(m[body], F.lit("")).alias("text")
+        )
+
+    return turn
+
+
 def json_turns(record: Column) -> Column:
     """Canonical turns of a JSON record; null where no known layout has its fingerprint."""
     value, key = F.try_parse_json(record), json_fingerprint(record)
@@ -101,12 +112,7 @@ def json_turns(record: Column) -> Column:
         if layout.listed:
             path, role, body = layout.listed
             got = F.try_variant_get(value, f"$.{path}", f"array<struct<`{role}`:string,`{body}`:string>>")
-            turns = F.transform(
-                got,
-                lambda m, r=role, b=body: F.struct(
-                    canonical_role(F.coalesce(m[r], F.lit(""))).alias("role"), F.coalesce(m[b], F.lit("")).alias("text")
-                ),
-            )
+            turns = F.transform(got, _message(role, body))
         else:
             made = []
             for role, path, more in layout.flat:
