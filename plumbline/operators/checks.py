@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import graph, joins
 from plumbline.sources import views
 
-V = F.col("vertices")
+def _v() -> Column:
+    return F.col("vertices")
 
 
 def _where(entities: DataFrame, condition, measure) -> DataFrame:
@@ -25,23 +26,23 @@ def _where(entities: DataFrame, condition, measure) -> DataFrame:
 
 
 def zero_length(e: DataFrame, tol: float = g.POINT_TOLERANCE) -> DataFrame:
-    size = g.arc_length(V, F.col("closed"))
+    size = g.arc_length(_v(), F.col("closed"))
     return _where(e, (F.size("vertices") < 2) | (size <= tol), size)
 
 
 def short(e: DataFrame, tol: float = 0.2) -> DataFrame:
-    size = g.arc_length(V, F.col("closed"))
+    size = g.arc_length(_v(), F.col("closed"))
     return _where(e.where(F.col("kind").isin("LINE", "POLYLINE", "POLYLINE2D", "ARC")), ~g.larger(size, F.lit(tol)), size)
 
 
 def zero_area(e: DataFrame, tol: float = 1e-5) -> DataFrame:
-    loop = F.col("closed") | ((F.size("vertices") >= 2) & (V[0]["x"] == F.element_at("vertices", -1)["x"]) & (V[0]["y"] == F.element_at("vertices", -1)["y"]))
-    size = F.abs(g.bulge_area(V))
+    loop = F.col("closed") | ((F.size("vertices") >= 2) & (_v()[0]["x"] == F.element_at("vertices", -1)["x"]) & (_v()[0]["y"] == F.element_at("vertices", -1)["y"]))
+    size = F.abs(g.bulge_area(_v()))
     return _where(e, loop & (size <= tol), size)
 
 
 def small_polygon(e: DataFrame, tol: float = 0.05) -> DataFrame:
-    size = F.abs(g.bulge_area(V))
+    size = F.abs(g.bulge_area(_v()))
     return _where(e, F.col("closed") & (size < tol) & (F.abs(size - tol) > g.TOLERANCE), size)
 
 
@@ -54,22 +55,22 @@ def elevated(e: DataFrame) -> DataFrame:
 
 
 def arc_segment(e: DataFrame) -> DataFrame:
-    arcs = F.size(F.filter(V, lambda p: F.abs(p["bulge"]) > 1e-5))
-    return _where(e, F.col("kind").isin("ARC", "CIRCLE", "ELLIPSE") | g.has_arc(V), arcs)
+    arcs = F.size(F.filter(_v(), lambda p: F.abs(p["bulge"]) > 1e-5))
+    return _where(e, F.col("kind").isin("ARC", "CIRCLE", "ELLIPSE") | g.has_arc(_v()), arcs)
 
 
 def sharp_corner(e: DataFrame, degrees: float = 5.0) -> DataFrame:
-    corners = g.sharp_corners(V, degrees)
+    corners = g.sharp_corners(_v(), degrees)
     return _where(e, F.col("closed") & (F.size(corners) > 0), F.size(corners))
 
 
 def anticlockwise(e: DataFrame) -> DataFrame:
     """Closed curves that do not run clockwise; a ring of zero area is reported."""
-    return _where(e, F.col("closed") & (g.signed_area(V) >= 0), g.signed_area(V))
+    return _where(e, F.col("closed") & (g.signed_area(_v()) >= 0), g.signed_area(_v()))
 
 
 def duplicate_vertex(e: DataFrame, tol: float = 0.05) -> DataFrame:
-    return _where(e, g.has_duplicate_vertex(V, tol), F.size("vertices"))
+    return _where(e, g.has_duplicate_vertex(_v(), tol), F.size("vertices"))
 
 
 def self_intersect(e: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def reverse(e: DataFrame, findings: DataFrame) -> DataFrame:
 def straighten(e: DataFrame, findings: DataFrame) -> DataFrame:
     """Arcs, circles and ellipses go; bulges of polylines become zero."""
     kept = e.join(findings.select("id").distinct(), "id", "left_semi").where(F.col("kind").isin("ARC", "CIRCLE", "ELLIPSE"))
-    flat = F.transform(V, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("bulge")))
+    flat = F.transform(_v(), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("bulge")))
     return _changed(erase(e, kept), findings, vertices=flat)
 
 
@@ -193,8 +194,8 @@ def drop_duplicate_vertices(e: DataFrame, findings: DataFrame, tol: float = 0.05
     """Keeps a vertex that lies farther than tol from the last kept one, and no last vertex near the first."""
     far = lambda p, q: F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2) > tol * tol
     kept = F.aggregate(
-        F.slice(V, F.lit(2), F.size(V)),
-        F.slice(V, F.lit(1), F.lit(1)),
+        F.slice(_v(), F.lit(2), F.size(_v())),
+        F.slice(_v(), F.lit(1), F.lit(1)),
         lambda acc, p: F.when(far(F.element_at(acc, -1), p), F.concat(acc, F.array(p))).otherwise(acc),
     )
     trimmed = F.when((F.size(kept) > 2) & ~far(F.element_at(kept, -1), kept[0]), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
