@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.staging import Workspace
+
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -116,6 +118,7 @@ def nearest(points: DataFrame, k: int, start: float, queries: DataFrame | None =
     span = max(box[1] - box[0], box[3] - box[2], start)
     left, r, out = points if queries is None else queries, start, None
     order = Window.partitionBy("id").orderBy("d2", "n_id")
+    work = Workspace(points.sparkSession, "nearest")
     while True:
         near = [F.col(c) for c in ("x", "y")]
         a = left.select("id", *near, (near[0] - r / 2).alias("minx"), (near[1] - r / 2).alias("miny"), (near[0] + r / 2).alias("maxx"), (near[1] + r / 2).alias("maxy"))
@@ -128,13 +131,14 @@ def nearest(points: DataFrame, k: int, start: float, queries: DataFrame | None =
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k)
         )
+        got = work.stage(got, "near")  # later rounds read it; unstaged, each round would compute all before it twice
         full = got.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
         last = r > 1.5 * span
         part = got if last else got.join(full, "id", "left_semi")
         out = part if out is None else out.unionByName(part)
         if last:
             return out
-        left, r = left.join(full, "id", "left_anti"), r * 2
+        left, r = work.stage(left.join(full, "id", "left_anti"), "left"), r * 2
         if left.isEmpty():
             return out
 
