@@ -2,10 +2,11 @@
 
 Texts with equal shingle sets are one class from the start, so thousands of
 copies cost one row each and no pair.  Classes that share a band form a bucket.
-Each bucket first compares its members with its least member only; after the
-components of those links are known, members of one bucket that still lie in
-different components are compared with each other, so no link between classes
-that share a band is lost.
+Each bucket first compares its members with its least member only.  Then, while
+a bucket still holds several components, one member of each is compared with one
+of the largest, in turns with other members.  At last all pairs of different
+components in a bucket are compared but those that the triangle inequality rules
+out, so no link between classes that share a band is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 #: Signatures that agree less than this are no candidates: 6 deviations below 75 %.
 AGREE = int(HASHES * 0.52)
-LEADER_ROUNDS = 3
-PAIRS_PER_ROW = 20
+#: What signatures may understate a similarity by: 6 deviations.
+DOUBT = 0.27
+#: Rounds that compare single members of components before all that is left is compared.
+TURNS = 2
 _rng = np.random.default_rng(0xBAD5EED)
 _MUL = _rng.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
@@ -52,15 +55,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(mix(keys) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least percent / 100, exactly."""
-    small, large = sorted((len(a), len(b)))
-    if not small or 100 * small < percent * large:
-        return False
+def common_size(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
     both = np.concatenate((a, b))
     both.sort(kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least percent / 100, exactly."""
+    common = common_size(a, b)
+    return bool(len(a)) and bool(len(b)) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _profiles(texts: DataFrame) -> DataFrame:
@@ -103,35 +108,90 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, sig binary, set binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree and whose full sets are similar."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, apart, exact) of pairs (a, b).
+
+    Signatures are checked first.  Where they agree enough, the full sets decide
+    and ``apart`` is the exact Jaccard distance; else the pair is no link and
+    ``apart`` is the least distance that its signatures allow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, apart, exact = [], [], []
             for sig_a, set_a, sig_b, set_b in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint32) for s in (sig_a, sig_b))
-                keep.append(
-                    int(np.count_nonzero(x == y)) >= AGREE
-                    and similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (set_a, set_b)), percent)
-                )
+                agree = int(np.count_nonzero(x == y))
+                exact.append(agree >= AGREE)
+                if agree >= AGREE:
+                    x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (set_a, set_b))
+                    common = common_size(x, y)
+                    linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                    apart.append(1 - common / (len(x) + len(y) - common))
+                else:
+                    linked.append(False)
+                    apart.append(max(0.0, 1 - agree / HASHES - DOUBT))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"]
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(apart, pa.float64()), pa.array(exact, pa.bool_())],
+                names=["a", "b", "linked", "apart", "exact"],
             )
 
     left = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("set").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "set_a", "sig_b", "set_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, linked boolean, apart double, exact boolean")
+
 
+def _parts(members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """(key, component, rep, major): the components of each bucket that has several, each by one member.
 
-def _residual(members: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
-    """(key, rep, n, component) in buckets whose members lie in several components."""
+    The member changes with the turn; ``major`` is the member of the bucket's largest component.
+    """
     placed = members.join(links, members["rep"] == links["node"], "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+        "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return work.stage(placed.join(mixed.select("key"), "key", "left_semi"), "residual")
+    parts = placed.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("c"), F.min_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("rep")
+    )
+    heads = (
+        parts.groupBy("key")
+        .agg(F.max(F.struct("c", (-F.col("component")).alias("o"), "rep")).alias("top"), F.count(F.lit(1)).alias("k"))
+        .where("k > 1")
+        .select("key", F.col("top.rep").alias("major"), (-F.col("top.o")).alias("main"))
+    )
+    return parts.join(heads, "key").select("key", "component", "rep", "major", "main")
+
+
+def _untested(members: DataFrame, links: DataFrame, dist: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a bucket in different components that no known distance rules out.
+
+    Only members outside a bucket's main component look through the bucket.  Two
+    members whose distances to the bucket's leader differ by more than a link
+    allows cannot be linked: the Jaccard distance is a metric.
+    """
+    mixed = _parts(members, links, 0).select("key", "main").distinct()
+    placed = (
+        members.join(mixed, "key")
+        .join(links, members["rep"] == links["node"], "left")
+        .join(dist, (F.col("leader") == F.col("a")) & (F.col("rep") == F.col("b")), "left")
+        .select(
+            "key", "rep", "n", "main", F.coalesce("component", "rep").alias("component"),
+            F.coalesce("apart", F.lit(0.0)).alias("apart"), F.coalesce("exact", F.col("rep") == F.col("leader")).alias("exact"),
+        )
+    )
+    x, y = placed.where("component <> main").alias("x"), placed.alias("y")
+    reach = (100 - percent) / 100 + 1e-9
+    ruled_out = (F.col("x.exact") & (F.col("y.apart") - F.col("x.apart") > reach)) | (
+        F.col("y.exact") & (F.col("x.apart") - F.col("y.apart") > reach)
+    )
+    fits = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & ~ruled_out
+    )
+    return x.join(y, fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -161,40 +221,22 @@ def near_duplicates(
     tried = work.stage(
         members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "tried"
     )
-    edges = work.stage(_confirmed(tried, sets, percent), "links")
+    first = work.stage(_compared(tried, sets, percent), "first")
+    dist = first.select("a", "b", "apart", "exact")
+    edges = first.where("linked").select("a", "b")
     links = connected_components(edges, work)
-    plain = members.select("key", "rep", "n").distinct()
-    for step in range(LEADER_ROUNDS + 1):
-        rest = _residual(plain, links, work)
-        rows, most = _weight(rest)
-        if not rows:
-            break
-        last = step == LEADER_ROUNDS or most <= PAIRS_PER_ROW * rows
-        x, y = rest.alias("x"), rest.alias("y")
-        fits = (
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        )
-        if last:
-            fits &= F.col("x.rep") < F.col("y.rep")
-        else:  # another leader for each bucket
-            lead = rest.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(step))).alias("s"))
-            x = lead.select("key", "s.*").alias("x")
-        pairs = (
-            x.join(y, fits)
-            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = work.stage(pairs, "pairs")
-        more = work.stage(_confirmed(pairs, sets, percent), "links")
+    for turn in range(TURNS + 1):
+        if turn < TURNS:  # one member of each component against one of the bucket's largest
+            parts = _parts(members, links, turn + 1).where("component <> main")
+            pairs = parts.select(F.least("rep", "major").alias("a"), F.greatest("rep", "major").alias("b")).distinct()
+        else:
+            pairs = _untested(members, links, dist, percent)
+        pairs = work.stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = work.stage(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
+        tried = tried.union(pairs)
         if not more.isEmpty():
             edges = edges.union(more)
             links = connected_components(edges, work)
-        if last:
-            break
-        tried = tried.union(pairs)
     found = profiles.join(classes, "set_key", "left").select(
         "id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep")
     )
@@ -207,14 +249,6 @@ def near_duplicates(
     )
 
 
-def _weight(rest: DataFrame) -> tuple[int, int]:
-    """Rows of the residual, and how many pairs of different components its buckets hold at most."""
-    parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    per = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    r = per.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
-    return int(r.rows or 0), int(r.pairs or 0)
-
-
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, work: Workspace | None = None
 ) -> DataFrame:

@@ -375,12 +375,12 @@ def test_near_duplicates_match_brute_force(docs, no_docs, clashing, fixture_rows
     assert left.columns == docs.columns
 
 
-@pytest.mark.parametrize("per_row", [20, 0])
-def test_chains_of_near_copies_are_one_component(spark, monkeypatch, per_row):
-    """Neighbours in the chain are similar, its ends are not; either way of settling the residual finds all links."""
+@pytest.mark.parametrize("turns", [2, 0])
+def test_chains_of_near_copies_are_one_component(spark, monkeypatch, turns):
+    """Neighbours in the chain are similar, its ends are not; with turns or without, all links are found."""
     import random
 
-    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", per_row)
+    monkeypatch.setattr(minhash, "TURNS", turns)
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
     rows = []
