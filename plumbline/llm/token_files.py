@@ -26,6 +26,8 @@ from plumbline.llm.staging import Workspace
 
 SEQUENCE = 2048
 BATCH = 256
+TEXTS = 500
+READ_TASKS = 20_000
 MEMO_ENTRIES = 500_000
 _RUNS = re.compile(r"[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+").findall
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -165,23 +167,17 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Tokenizes, range-partitions by id, and writes one file per partition; returns the manifest.
+    """Range-partitions by id, tokenizes, and writes one file per partition; returns the manifest.
 
-    Documents lie in ascending order of id (nulls first), ties by ids written.
-    Only ids travel through the shuffle, at two bytes each for small vocabularies.
+    Documents lie in ascending order of id (nulls first), ties by text.  Texts go
+    through the shuffle, not ids: finding the ranges reads its input twice, and
+    that must not tokenize twice.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = library_encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enc, end = library_encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
         system, root = pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
@@ -196,10 +192,11 @@ def write_token_files(
                 writer = SequenceWriter(sinks[0], dtype, length)
                 index = pa.ipc.new_stream(sinks[1], pa.schema([("id", pa.int64()), ("n", pa.int64())]))
             sizes = []
-            for ids in batch.column(1):
-                got = np.frombuffer(ids.as_buffer(), dtype)
-                writer.write(got)
-                sizes.append(len(got))
+            for at in range(0, batch.num_rows, TEXTS):
+                for ids in enc.encode([t or "" for t in batch.column(1).slice(at, TEXTS).to_pylist()]):
+                    got = np.frombuffer(ids + end, dtype)
+                    writer.write(got)
+                    sizes.append(len(got))
             index.write_batch(
                 pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], names=["id", "n"])
             )
@@ -217,9 +214,8 @@ def write_token_files(
 
     return (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(encode, "id long, ids binary")
         .repartitionByRange(F.col("id").asc_nulls_first())
-        .sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+        .sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
         .mapInArrow(write, MANIFEST)
     )
 
@@ -237,7 +233,8 @@ def read_documents(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield from _file_rows(path, first, id_col)
 
-    return files.repartition("path").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(manifest.count(), READ_TASKS))  # a manifest is small: left to itself it would be one task
+    return files.repartition(tasks, "path").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def _file_rows(path: str, start: int, id_col: str) -> Iterator[pa.RecordBatch]:
