@@ -253,6 +253,34 @@ def test_passages_that_repeat_are_found(docs, no_docs, clashing, fixture_rows):
     assert substring.repeated_passages(clashing).count() == len(out)
 
 
+def test_passages_of_frequent_lines_are_found(spark):
+    """Every line of a passage also stands alone in earlier documents, so representatives lack the passage."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    stock = [some(20) for _ in range(60)]
+    texts = []
+    for k in range(60):  # each line in three documents, in a new company each time
+        for _ in range(3):
+            texts.append(some(40) + stock[k] + some(40))
+    pairs = []
+    for p in range(20):
+        passage = stock[3 * p] + stock[3 * p + 1] + stock[3 * p + 2]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [some(30) + passage + some(30), some(50) + passage + some(10)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in rows]
+    brute = {i for i in range(len(rows)) for j in range(len(rows)) if i != j and len(sets[i] & sets[j]) >= 46}
+    assert brute == {i for p in pairs for i in p}
+    out = {r.doc_id: r for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert set(out) == brute
+    for a, b in pairs:
+        assert (out[a].class_id, out[b].class_id, out[a].partner) == (a, a, b)
+        assert (out[a].passages, out[b].passages) == ("30:90", "50:110")
+
+
 # --- op6 ---
 
 
