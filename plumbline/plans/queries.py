@@ -604,6 +604,12 @@ def trim_by_extents(spark, d):
     return inside.join(whole.select("id"), "id", "left_semi")
 
 
+@query("trim_parts_by_extents")
+def trim_parts_by_extents(spark, d):
+    """Parts inside the same box of all segments; those that cross the border are cut at it (tested against brute force)."""
+    return checks.trim_lines(_segs(spark, d).where("x1 <> x2 OR y1 <> y2"), (500.0, 500.0, 1500.0, 1500.0))
+
+
 @query(
     "affine_array",
     "SELECT id, k::INT AS copy, pos, -y + 10.0 * k AS x, x + 5.0 * k AS y FROM v_vertices CROSS JOIN range(3) r(k)",

@@ -196,6 +196,29 @@ def test_split_extend_trim(spark):
     assert sorted((r.id, r.x1, r.x2) for r in outside) == [(0, -5.0, 0.0), (0, 3.0, 5.0), (1, 0.0, 1.0)]
 
 
+def test_trim_query_keeps_the_parts_of_crossing_segments(spark, monkeypatch):
+    from plumbline.plans import queries
+
+    rng = random.Random(4)
+    rows = [tuple(rng.uniform(0, 2000) for _ in range(4)) for _ in range(300)]
+    rows += [(0, 1000, 2000, 1000), (500, 0, 500, 2000), (600, 600, 700, 700), (0, 0, 400, 400), (0, 1000, 1000, 0), (900, 900, 900, 900)]
+    monkeypatch.setattr(queries, "_segs", lambda *_: lines(spark, *rows))
+    got = {r.id: (r.x1, r.y1, r.x2, r.y2) for r in queries.QUERIES["trim_parts_by_extents"](spark, "").collect()}
+
+    def clipped(x1, y1, x2, y2):
+        """The part between the outermost of the ends and border crossings that lie in the box."""
+        ts = [0.0, 1.0]
+        for a, b in ((x1, x2), (y1, y2)):
+            ts += [(m - a) / (b - a) for m in (500, 1500) if a != b]
+        at = lambda t: (x1 + t * (x2 - x1), y1 + t * (y2 - y1))
+        held = [t for t in ts if 0 <= t <= 1 and all(500 - 1e-9 <= v <= 1500 + 1e-9 for v in at(t))]
+        return (*at(min(held)), *at(max(held))) if held and min(held) < max(held) - 1e-12 and (x1, y1) != (x2, y2) else None
+
+    expect = {i: c for i, r in enumerate(rows) if (c := clipped(*r))}
+    assert set(got) == set(expect) and {300, 301} <= set(got)
+    assert all(got[i] == pytest.approx(expect[i], abs=1e-5) for i in got)
+
+
 def test_windows_and_walls(spark):
     rows = [(0, y, 100, y) for y in (0, 50, 100)] + [(0, 1000, 100, 1000), (200, 0, 200, 80)]
     got = floorplan.window_groups(lines(spark, *rows)).collect()
