@@ -219,6 +219,12 @@ def test_trim_query_keeps_the_parts_of_crossing_segments(spark, monkeypatch):
     assert all(got[i] == pytest.approx(expect[i], abs=1e-5) for i in got)
 
 
+def test_a_window_of_six_lines_is_cut_after_the_fifth(spark):
+    six = [(0, 20 * k, 100, 20 * k) for k in range(6)]
+    got = floorplan.window_groups(lines(spark, *six)).collect()
+    assert [(r.first_id, r.n_lines, r.lo, r.hi, r.off) for r in got] == [(0, 5, 0.0, 100.0, 0.0)]
+
+
 def test_windows_and_walls(spark):
     rows = [(0, y, 100, y) for y in (0, 50, 100)] + [(0, 1000, 100, 1000), (200, 0, 200, 80)]
     got = floorplan.window_groups(lines(spark, *rows)).collect()
