@@ -13,9 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PATH_LEVELS = 2
-HOST_LEVELS = 4
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; empty where there is none."""
@@ -27,16 +24,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def url_keys(url: Column) -> Column:
-    """Distinct keys under which a list may hold the URL: host, parents, host with path segments."""
+def url_keys(url: Column, labels_most: int | None = None, parts_most: int | None = None) -> Column:
+    """Distinct keys under which a list may hold the URL: host, parents down to two labels, host with path segments.
+
+    Keys of more labels or path segments than the most that the list holds, if given, are left out.
+    """
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
+    last = F.greatest(n - 2, F.lit(0))
+    first = F.lit(0) if labels_most is None else F.least(F.greatest(n - labels_most, F.lit(0)), last)
     hosts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.least(n - 2, F.lit(HOST_LEVELS - 1)), F.lit(0))),
+        F.sequence(first, last),
         lambda k: F.array_join(F.slice(labels, k + 1, n), "."),
     )
     parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    depth = F.least(F.size(parts), F.lit(PATH_LEVELS))
+    depth = F.size(parts) if parts_most is None else F.least(F.size(parts), F.lit(parts_most))
     paths = F.transform(
         F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")),
         lambda k: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")),
@@ -76,6 +78,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     """
     seen = captures.select(F.col(id_col).alias("id"), "url", "fetched_at")
     horizon = seen.agg(F.max(_month(F.col("fetched_at")))).first()[0]
+    pieces = F.split("key", "/")
+    deepest = entries.agg(F.max(F.size(F.split(pieces[0], r"\."))), F.max(F.when(F.col("key").isNotNull(), F.size(pieces) - 1))).first()
+    labels_most, parts_most = (x or 0 for x in deepest)
     intervals = validity(entries).withColumn(
         "month",
         F.explode(
@@ -91,7 +96,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
         ),
     )
     keyed = seen.where("url IS NOT NULL AND fetched_at IS NOT NULL").select(
-        "id", "url", "fetched_at", _month(F.col("fetched_at")).alias("month"), F.explode(url_keys(F.col("url"))).alias("key")
+        "id", "url", "fetched_at", _month(F.col("fetched_at")).alias("month"), F.explode(url_keys(F.col("url"), labels_most, parts_most)).alias("key")
     )
     active = keyed.join(intervals, ["key", "month"]).where(
         "valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)"

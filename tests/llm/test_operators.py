@@ -220,6 +220,19 @@ def test_url_lists_hold_as_of_the_fetch_time(spark):
     assert url_filter.filter_captures(seen, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_lists_hold_at_any_depth(spark):
+    keys = ["example.com", "a.b.c.d.e.f.deep.org", "host.net/a/b/c/d", "one"]
+    entries = spark.createDataFrame([(k, "2024-01-01", "add", "x") for k in keys], "key string, at string, action string, category string")
+    rows = [
+        (1, "http://a.b.c.d.example.com/", "example.com"), (2, "http://z.a.b.c.d.e.f.deep.org/q", "a.b.c.d.e.f.deep.org"),
+        (3, "http://b.c.d.e.f.deep.org/", None), (4, "http://host.net/a/b/c/d/e/f", "host.net/a/b/c/d"), (5, "http://host.net/a/b/c", None),
+        (6, "http://one/x", "one"), (7, "http://sub.one/x", None),
+    ]
+    seen = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").selectExpr("*", "timestamp_ntz '2024-02-01' AS fetched_at")
+    out = url_filter.filter_captures(seen, entries.selectExpr("key", "cast(at AS timestamp_ntz) AS at", "action", "category"))
+    assert rows_of(out, "page_id", "matched_key") == sorted([(r[0], r[2]) for r in rows], key=repr)
+
+
 # --- op5 ---
 
 
