@@ -49,16 +49,18 @@ def url_keys(url: Column, labels_most: int | None = None, parts_most: int | None
 def validity(entries: DataFrame) -> DataFrame:
     """(key, category, valid_from, valid_to) of entries (key, at, action, category).
 
-    An ``add`` holds until the key's next entry; of entries at one time the last
-    in the order remove, add, then category counts.  ``valid_to`` is null while it holds.
+    An ``add`` holds until the next entry of its key and category, or the next
+    ``remove`` of the key without a category; at one time a remove comes before
+    an add.  ``valid_to`` is null while it holds.
     """
     rank = F.when(F.col("action") == "add", 1).otherwise(0)
-    order = Window.partitionBy("key").orderBy("at", "rank", "category")
-    nxt = F.lead("at").over(order)
+    own = F.lead("at").over(Window.partitionBy("key", "category").orderBy("at", "rank"))
+    later = Window.partitionBy("key").orderBy("at", "rank").rowsBetween(1, Window.unboundedFollowing)
+    every = F.min(F.when((F.col("action") == "remove") & (F.col("category") == ""), F.col("at"))).over(later)
     return (
         entries.where("key IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
         .select("key", "at", "action", F.coalesce("category", F.lit("")).alias("category"), rank.alias("rank"))
-        .withColumn("valid_to", nxt)
+        .withColumn("valid_to", F.least(own, every))
         .where("action = 'add' AND (valid_to IS NULL OR valid_to > at)")
         .select("key", "category", F.col("at").alias("valid_from"), "valid_to")
     )

@@ -233,6 +233,20 @@ def test_url_lists_hold_at_any_depth(spark):
     assert rows_of(out, "page_id", "matched_key") == sorted([(r[0], r[2]) for r in rows], key=repr)
 
 
+def test_url_list_categories_end_on_their_own(spark):
+    rows = [
+        ("a.com", "2024-01-01", "add", "adult"), ("a.com", "2024-02-01", "add", "spam"), ("a.com", "2024-03-01", "remove", "spam"),
+        ("b.com", "2024-01-01", "add", "adult"), ("b.com", "2024-01-01", "add", "spam"), ("b.com", "2024-04-01", "remove", None),
+    ]
+    entries = spark.createDataFrame(rows, "key string, at string, action string, category string").selectExpr(
+        "key", "cast(at AS timestamp_ntz) AS at", "action", "category"
+    )
+    days = [("a.com", "2024-02-15", 2), ("a.com", "2024-03-15", 1), ("b.com", "2024-02-01", 2), ("b.com", "2024-04-01", 0)]
+    seen = spark.createDataFrame([(i, f"http://{h}/", d) for i, (h, d, _) in enumerate(days)], "page_id long, url string, at string")
+    out = url_filter.filter_captures(seen.selectExpr("page_id", "url", "cast(at AS timestamp_ntz) AS fetched_at"), entries)
+    assert rows_of(out, "page_id", "n_active") == [(i, d[2]) for i, d in enumerate(days)]
+
+
 # --- op5 ---
 
 
