@@ -83,10 +83,9 @@ def duplicate_entity(e: DataFrame, tol: float = 0.0005) -> DataFrame:
     """(a_id, b_id): every vertex of a has one of b within tol, and the matched ones are all of b."""
     v = views.vertices(e)
     size = e.select("id", F.size("vertices").alias("n"))
-    points = v.select((F.col("id") * 4096 + F.col("pos")).alias("pid"), "id", "pos", "x", "y")
+    points = v.select(F.struct("id", "pos").alias("pid"), "x", "y")
     near = joins.radius_pairs(points.select(F.col("pid").alias("id"), "x", "y"), tol)
-    owner = lambda c: F.floor(F.col(c) / 4096).cast("long")
-    both = near.select(owner("a_id").alias("p"), owner("b_id").alias("q"), F.col("a_id").alias("pa"), F.col("b_id").alias("pb")).where("p <> q")
+    both = near.select(F.col("a_id.id").alias("p"), F.col("b_id.id").alias("q"), F.col("a_id").alias("pa"), F.col("b_id").alias("pb")).where("p <> q")
     turned = both.select(
         F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id"),
         F.when(F.col("p") < F.col("q"), F.col("pa")).otherwise(F.col("pb")).alias("va"),

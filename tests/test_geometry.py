@@ -123,6 +123,14 @@ def test_duplicates(spark):
     assert [(r.a_id, r.b_id) for r in polygons.duplicates(rings).collect()] == [(1, 2)]
 
 
+def test_duplicates_of_many_vertices(spark):
+    long = [(i, 0.0) for i in range(5000)]
+    e = table(spark, entity(1, long), entity(2, [(9000.0, 9.0), (9001.0, 9.0)]), entity(7, long))
+    pairs = checks.duplicate_entity(e)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 7)]
+    assert [tuple(r) for r in checks.survivors(e, pairs).collect()] == [(7, 1)]
+
+
 def test_dangling_undershoot_apparent(spark):
     seg = lines(spark, (0, 0, 9, 0), (10, -5, 10, 5), (10, 5, 15, 5), (20, 0, 21, 0), (22, 2, 22, 1), (30, 0, 38, 0), (40, -5, 40, 5))
     ends = {(r.id, r.end) for r in graph.dangling_ends(seg).collect()}
