@@ -4,9 +4,10 @@ Texts with equal shingle sets are one class from the start, so thousands of
 copies cost one row each and no pair.  Classes that share a band form a bucket.
 Each bucket first compares its members with its least member only.  Then, while
 a bucket still holds several components, one member of each is compared with one
-of the largest, in turns with other members.  At last all pairs of different
-components in a bucket are compared but those that the triangle inequality rules
-out, so no link between classes that share a band is lost.
+of the largest, in turns with other members.  At last the members of the buckets
+that still hold several components meet in a set-similarity join by prefix
+filter, which finds every similar pair among them whatever its bands, so no link
+between classes that share a band is lost, and no bucket is paired out.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from plumbline.llm.words import mix, shingle_set
 PERCENT = 75
 ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
-#: Signatures that agree less than this are no candidates: 6 deviations below 75 %.
-AGREE = int(HASHES * 0.52)
-#: What signatures may understate a similarity by: 6 deviations.
-DOUBT = 0.27
+#: Signatures that agree by so much less than a link must are no candidates: 6 deviations.
+DOUBT = 0.23
+#: Natural logarithm of the ratio of one size class to the next.
+_STEP = 0.1
 #: Rounds that compare single members of components before all that is left is compared.
 TURNS = 2
 _rng = np.random.default_rng(0xBAD5EED)
@@ -109,37 +110,25 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, apart, exact) of pairs (a, b).
-
-    Signatures are checked first.  Where they agree enough, the full sets decide
-    and ``apart`` is the exact Jaccard distance; else the pair is no link and
-    ``apart`` is the least distance that its signatures allow.
-    """
+    """(a, b) of those pairs (a, b) that are links: signatures are checked first, then the full sets decide."""
+    least = int(HASHES * max(percent / 100 - DOUBT, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, apart, exact = [], [], []
+            linked = []
             for sig_a, set_a, sig_b, set_b in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint32) for s in (sig_a, sig_b))
-                agree = int(np.count_nonzero(x == y))
-                exact.append(agree >= AGREE)
-                if agree >= AGREE:
+                if int(np.count_nonzero(x == y)) >= least:
                     x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (set_a, set_b))
-                    common = common_size(x, y)
-                    linked.append(100 * common >= percent * (len(x) + len(y) - common))
-                    apart.append(1 - common / (len(x) + len(y) - common))
+                    linked.append(similar(x, y, percent))
                 else:
                     linked.append(False)
-                    apart.append(max(0.0, 1 - agree / HASHES - DOUBT))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(apart, pa.float64()), pa.array(exact, pa.bool_())],
-                names=["a", "b", "linked", "apart", "exact"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("set").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "set_a", "sig_b", "set_b")
-    return both.mapInArrow(run, "a long, b long, linked boolean, apart double, exact boolean")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _parts(members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
@@ -162,36 +151,71 @@ def _parts(members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     return parts.join(heads, "key").select("key", "component", "rep", "major", "main")
 
 
-def _untested(members: DataFrame, links: DataFrame, dist: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a bucket in different components that no known distance rules out.
+def _contested(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, n, component, outside): members of buckets that still hold several components.
 
-    Only members outside a bucket's main component look through the bucket.  Two
-    members whose distances to the bucket's leader differ by more than a link
-    allows cannot be linked: the Jaccard distance is a metric.
+    ``outside`` marks those that lie outside the main component of such a bucket.
     """
     mixed = _parts(members, links, 0).select("key", "main").distinct()
-    placed = (
-        members.join(mixed, "key")
-        .join(links, members["rep"] == links["node"], "left")
-        .join(dist, (F.col("leader") == F.col("a")) & (F.col("rep") == F.col("b")), "left")
+    placed = members.join(mixed, "key").join(links, members["rep"] == links["node"], "left")
+    named = placed.select("rep", "n", F.coalesce("component", "rep").alias("component"), "main")
+    return named.groupBy("rep", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
+
+
+def _rare_first(contested: DataFrame, sets: DataFrame) -> DataFrame:
+    """``contested`` plus ``rare``: the shingles that others have as well, in one order for all, rarest first.
+
+    Shingles of one member only come before those and are left out: they take up
+    the first ``n - size(rare)`` places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(held.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), rep)), pa.array(tokens)], names=["rep", "token"])
+
+    held = sets.join(contested.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "set")
+    tokens = held.mapInArrow(run, "rep long, token long")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    return contested.join(rare.select("rep", F.col("rare.token").alias("rare")), "rep")
+
+
+def _untested(ranked: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of contested members in different components that may be similar, one of each outside.
+
+    A similar pair shares at least percent / (100 + percent) of the sum of its
+    sizes, so with all sets in one order the first shared shingle comes early on
+    both sides: where it has place i in a set of n and place j in one of m, at
+    most min(n - i, m - j) are shared.  Members meet on such early shingles alone
+    (prefix filter), which are the rare ones: what a family has in common, its
+    frequent shingles, brings only those of its members together that differ
+    little.  No similar pair is lost.  Sizes are dealt into classes, for the prefix is shorter against
+    larger partners.
+    """
+    p, whole = percent, 100 + percent
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / _STEP).cast("int")
+    shared = lambda n, m: F.ceil(p * (n + m) / whole)
+    early = lambda upto: F.slice("rare", 1, F.greatest(upto - F.col("first"), F.lit(0)).cast("int"))
+    n, first = F.col("n"), (F.col("n") - F.size("rare")).alias("first")
+    smallest, largest = F.ceil(p * n / 100), F.floor(100 * n / p)
+    y = ranked.select("rep", "n", "component", first, "rare").select(
+        F.col("rep").alias("y"), F.col("n").alias("m"), F.col("component").alias("cy"), size_class(n).alias("size"), "first",
+        F.posexplode(early(n - smallest + 1)).alias("j", "token"),
+    )
+    least = F.greatest(smallest, F.floor(F.exp(F.col("size") * _STEP)) - 1)
+    x = (
+        ranked.where("outside")
+        .select("rep", "n", "component", first, "rare", F.explode(F.sequence(size_class(smallest), size_class(largest))).alias("size"))
         .select(
-            "key", "rep", "n", "main", F.coalesce("component", "rep").alias("component"),
-            F.coalesce("apart", F.lit(0.0)).alias("apart"), F.coalesce("exact", F.col("rep") == F.col("leader")).alias("exact"),
+            F.col("rep").alias("x"), "n", F.col("component").alias("cx"), "size", F.col("first").alias("first_x"),
+            F.posexplode(early(n - shared(n, least) + 1)).alias("i", "token"),
         )
     )
-    x, y = placed.where("component <> main").alias("x"), placed.alias("y")
-    reach = (100 - percent) / 100 + 1e-9
-    ruled_out = (F.col("x.exact") & (F.col("y.apart") - F.col("x.apart") > reach)) | (
-        F.col("y.exact") & (F.col("x.apart") - F.col("y.apart") > reach)
-    )
-    fits = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & ~ruled_out
-    )
-    return x.join(y, fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    reach = F.least(F.col("n") - F.col("first_x") - F.col("i"), F.col("m") - F.col("first") - F.col("j"))
+    met = x.join(y, ["token", "size"]).where((F.col("cx") != F.col("cy")) & (whole * reach >= p * (F.col("n") + F.col("m"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -221,22 +245,22 @@ def near_duplicates(
     tried = work.stage(
         members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "tried"
     )
-    first = work.stage(_compared(tried, sets, percent), "first")
-    dist = first.select("a", "b", "apart", "exact")
-    edges = first.where("linked").select("a", "b")
+    edges = work.stage(_compared(tried, sets, percent), "links")
     links = connected_components(edges, work)
     for turn in range(TURNS + 1):
         if turn < TURNS:  # one member of each component against one of the bucket's largest
             parts = _parts(members, links, turn + 1).where("component <> main")
             pairs = parts.select(F.least("rep", "major").alias("a"), F.greatest("rep", "major").alias("b")).distinct()
         else:
-            pairs = _untested(members, links, dist, percent)
+            contested = work.stage(_contested(members, links), "contested")
+            pairs = _untested(work.stage(_rare_first(contested, sets), "ranked"), percent)
         pairs = work.stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = work.stage(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
+        more = work.stage(_compared(pairs, sets, percent), "links")
         tried = tried.union(pairs)
         if not more.isEmpty():
             edges = edges.union(more)
             links = connected_components(edges, work)
+    work.drop(sets, members)
     found = profiles.join(classes, "set_key", "left").select(
         "id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep")
     )
