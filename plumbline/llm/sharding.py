@@ -2,14 +2,17 @@
 
 Groups of equal texts lie in the order of their SHA-256, so a shard is an
 interval of keys.  The smallest feasible capacity is binary-searched over a
-digest of key-prefix cells; only cells in which a cut may still fall are split
-further, by one hex digit a round.  The driver holds cells, never groups, and a
-row's shard is a comparison of its key with the cuts: no join, no shuffle.
+digest of key-prefix cells, checked greedily.  For the capacities still possible
+each cut has a first and a last place it may fall; only cells between those are
+split, by one hex digit a round.  A place is as wide as the cells around it, so
+the number of cells that a round splits follows the square of the number of
+shards and not the number of groups.  The driver holds cells, never groups, and
+a row's shard is a comparison of its key with the cuts: no join, no shuffle.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -21,6 +24,10 @@ from plumbline.llm.staging import Workspace
 ROW_BYTES = 16
 FIRST_DIGITS = 3
 BUCKET_ROWS = 50_000
+#: A cell above this share of the least capacity is split before places of cuts are worked out.
+COARSE = 64
+#: Runs of cells that one job splits; the rest wait for the next.
+MOST_RUNS = 256
 
 
 @dataclass(frozen=True)
@@ -32,34 +39,23 @@ class Cell:
     atomic: bool
 
 
-def greedy_shards(sizes: list[int], capacity: int) -> int:
-    """Shards a left-to-right packing needs; sizes above the capacity make it infinite."""
-    n, room = 1, capacity
-    for s in sizes:
-        if s > capacity:
-            return 1 << 62
-        if s > room:
-            n, room = n + 1, capacity
-        room -= s
-    return n
+def _reach(ends: list[int], cells: list[Cell], at: int, capacity: int, fluid: bool) -> int:
+    """Where the shard that begins at offset ``at`` ends: whole cells only, or cells of several groups poured like water."""
+    goal = at + capacity
+    if goal >= ends[-1]:
+        return ends[-1]
+    k = bisect_right(ends, goal)
+    return goal if fluid and not cells[k].atomic else max(at, ends[k - 1] if k else 0)
 
 
-def _fluid_shards(cells: list[Cell], capacity: int) -> int:
-    """A lower bound: cells of several groups pour across cuts like water."""
-    n, room = 1, capacity
-    for c in cells:
-        if c.atomic:
-            if c.size > capacity:
-                return 1 << 62
-            if c.size > room:
-                n, room = n + 1, capacity
-            room -= c.size
-        elif c.size <= room:
-            room -= c.size
-        else:
-            over = c.size - room
-            full = -(-over // capacity)
-            n, room = n + full, capacity * full - over
+def greedy_shards(cells: list[Cell], ends: list[int], capacity: int, shards: int, fluid: bool = False) -> int:
+    """Shards that a left-to-right packing needs, or more than ``shards`` as soon as that is sure."""
+    at, n = 0, 0
+    while at < ends[-1]:
+        to = _reach(ends, cells, at, capacity, fluid)
+        if n == shards or to == at:
+            return shards + 1
+        at, n = to, n + 1
     return n
 
 
@@ -76,25 +72,35 @@ def smallest(feasible, lo: int, hi: int) -> int:
 
 def bounds(cells: list[Cell], shards: int) -> tuple[int, int]:
     """The smallest capacity lies between these; they meet once the digest is fine enough."""
-    total = sum(c.size for c in cells)
-    whole = [c.size for c in cells]
-    lo = smallest(lambda x: _fluid_shards(cells, x) <= shards, -(-total // shards), total)
-    hi = smallest(lambda x: greedy_shards(whole, x) <= shards, lo, total)
+    ends = list(accumulate(c.size for c in cells))
+    lo = smallest(lambda x: greedy_shards(cells, ends, x, shards, fluid=True) <= shards, -(-ends[-1] // shards), ends[-1])
+    hi = smallest(lambda x: greedy_shards(cells, ends, x, shards) <= shards, lo, ends[-1])
     return lo, hi
 
 
-def undecided(cells: list[Cell], shards: int, lo: int, hi: int) -> list[str]:
-    """Prefixes of the cells in which a cut may fall for some capacity in [lo, hi]."""
+def undecided(cells: list[Cell], shards: int, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Runs of cells (first, last) in which a cut may fall for some capacity in [lo, hi].
+
+    Whole cells packed to the least capacity give the first place of each cut,
+    poured cells packed to the largest give the last.  Cells that are large for a
+    shard, of which there are few, leave these places far apart and go first.
+    """
+    large = [k for k, c in enumerate(cells) if not c.atomic and COARSE * c.size > lo]
+    if large:
+        held = set(large)
+        first, last = [k for k in large if k - 1 not in held], [k for k in large if k + 1 not in held]
+        return list(zip(first, last, strict=True))[:MOST_RUNS]
     ends = list(accumulate(c.size for c in cells))
-    low, high, out = 0, 0, set()
-    biggest = max((c.size for c in cells if not c.atomic), default=0)
+    low, high, runs = 0, 0, []
     for _ in range(shards):
-        low = max(0, min(low + max(lo - biggest, 0), ends[-1]))
-        high = min(high + hi, ends[-1])
-        a, b = bisect_right(ends, low), min(bisect_right(ends, high), len(cells) - 1)
-        out.update(c.prefix for c in cells[max(a - 1, 0) : b + 1] if not c.atomic)
-    out.update(c.prefix for c in cells if not c.atomic and c.size > lo // 8)
-    return sorted(out)
+        low, high = _reach(ends, cells, low, lo, False), _reach(ends, cells, high, hi, True)
+        a, b = bisect_right(ends, low), min(bisect_left(ends, high), len(cells) - 1)
+        if a <= b:
+            if runs and a <= runs[-1][1] + 1:
+                runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+            else:
+                runs.append((a, b))
+    return [(a, b) for a, b in runs if not all(c.atomic for c in cells[a : b + 1])][:MOST_RUNS]
 
 
 def balanced_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
@@ -126,25 +132,29 @@ def text_key(text: Column) -> Column:
 def _digest(keyed: DataFrame, cell: Column) -> list[Cell]:
     rows = (
         keyed.groupBy(cell.alias("prefix"))
-        .agg(F.sum("size").alias("size"), (F.min("key") == F.max("key")).alias("atomic"))
+        .agg(F.sum("size").alias("size"), (F.min("hash") == F.max("hash")).alias("atomic"))
         .where(F.col("prefix").isNotNull())
         .collect()
     )
     return [Cell(r.prefix, r.size, r.atomic) for r in rows]
 
 
-def _finer(keyed: DataFrame, cells: list[Cell], split: list[str]) -> list[Cell]:
-    """The digest with each cell of ``split`` replaced by its cells of one digit more, in one job."""
-    cell = F.lit(None).cast("string")
-    for n in sorted({len(p) for p in split}, reverse=True):
-        inside = F.substring("key", 1, n).isin([p for p in split if len(p) == n])
-        cell = F.when(inside, F.substring("key", 1, n + 1)).otherwise(cell)
-    gone = set(split)
-    return sorted([c for c in cells if c.prefix not in gone] + _digest(keyed, cell), key=lambda c: c.prefix)
+def _finer(keyed: DataFrame, cells: list[Cell], runs: list[tuple[int, int]]) -> list[Cell]:
+    """The digest with the cells of each run replaced by cells of one digit more, in one job."""
+    cell, gone = F.lit(None).cast("string"), set()
+    for a, b in runs:
+        digits = max(len(c.prefix) for c in cells[a : b + 1] if not c.atomic) + 1
+        inside = F.col("key") >= F.lit(cells[a].prefix)
+        if b + 1 < len(cells):
+            inside = inside & (F.col("key") < F.lit(cells[b + 1].prefix))
+        cell = F.when(inside, F.substring("key", 1, digits)).otherwise(cell)
+        gone |= set(range(a, b + 1))
+    kept = [c for k, c in enumerate(cells) if k not in gone]
+    return sorted(kept + _digest(keyed, cell), key=lambda c: c.prefix)
 
 
 def plan_cuts(keyed: DataFrame, shards: int) -> tuple[int, list[str]]:
-    """(smallest capacity, key prefixes at which shards 1, 2, ... begin) for rows of key and size."""
+    """(smallest capacity, key prefixes at which shards 1, 2, ... begin) for rows of key, its hash, and size."""
     cells = sorted(_digest(keyed, F.substring("key", 1, FIRST_DIGITS)), key=lambda c: c.prefix)
     if not cells:
         return 0, []
@@ -152,8 +162,7 @@ def plan_cuts(keyed: DataFrame, shards: int) -> tuple[int, list[str]]:
         lo, hi = bounds(cells, shards)
         if lo == hi:
             break
-        split = undecided(cells, shards, lo, hi) or [c.prefix for c in cells if not c.atomic]
-        cells = _finer(keyed, cells, split)
+        cells = _finer(keyed, cells, undecided(cells, shards, lo, hi))
     cuts = balanced_cuts([c.size for c in cells], shards, lo)
     beyond = "g"  # after every hex digit: an empty shard
     return lo, [cells[k].prefix if k < len(cells) else beyond for k in cuts]
@@ -168,8 +177,9 @@ def shard_by_bytes(
     ordered by bucket of the id, then id) and the shard capacity.  A null text
     has size 16, CRC 0, and forms one group with other nulls; an empty text is a
     group of its own.  Null ids are dealt as well.  Repeated rows each get a
-    slot; ties of one id are broken by CRC and size.  An empty table gives an
-    empty result.  Other columns of ``docs`` are not read.
+    slot; ties of one id are broken by CRC and size.  A text above the capacity
+    of an even deal makes a shard of its own size.  An empty table gives an empty
+    result.  Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "shard")
@@ -180,7 +190,7 @@ def shard_by_bytes(
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(ROW_BYTES)).alias("size"),
             F.crc32(F.coalesce(text, F.lit(""))).alias("crc"),
             text_key(text).alias("key"),
-        ),
+        ).withColumn("hash", F.xxhash64("key")),
         "keyed",
     )
     capacity, cuts = plan_cuts(keyed, shards)
