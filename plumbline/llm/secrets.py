@@ -13,6 +13,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # The patterns of the weak kinds.
 BARE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(
-    r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|arn:aws:[A-Za-z0-9:/_.*-]+|[a-z0-9.-]+\.amazonaws\.com|(?:us|eu|ap|sa|ca)-[a-z]+-[0-9]\b"
+    r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|arn:aws:[A-Za-z0-9:/_.*-]+|(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com|(?:us|eu|ap|sa|ca)-[a-z]+-[0-9]\b"
 )
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 REACH = 400
@@ -60,11 +61,12 @@ def linked_spans(text: str, strong: list[Span], reach: int = REACH) -> list[Span
         return []
     walls = [m.start() for m in BLANK.finditer(text)]
     taken = sorted((s, e) for s, e, _ in strong)
-    starts = [s for s, _ in taken]
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def covered(a: int, b: int) -> bool:
+        """Whether a strong span overlaps [a, b): of those begun before b, one ends after a."""
         k = bisect_left(starts, b)
-        return any(taken[j][1] > a for j in range(max(0, k - 8), k))
+        return k > 0 and furthest[k - 1] > a
 
     scopes = []
     for s, e, _ in access:
@@ -72,16 +74,12 @@ def linked_spans(text: str, strong: list[Span], reach: int = REACH) -> list[Span
         lo = max(s - reach, walls[k - 1] if k else 0)
         hi = min(e + reach, walls[k] if k < len(walls) else len(text))
         scopes.append((lo, hi))
-    merged: list[list[int]] = []  # stretches of text that any scope covers
-    for lo, hi in sorted(scopes):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
-    found: list[Span] = []
-    for kind, pattern in (("secret", BARE), ("endpoint", ENDPOINT)):
-        for lo, hi in merged:
-            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text, lo, hi) if not covered(*m.span())]
+    found = [
+        (m.start(), m.end(), kind)
+        for kind, pattern in (("secret", BARE), ("endpoint", ENDPOINT))
+        for m in pattern.finditer(text)
+        if not covered(*m.span())
+    ]
     lows, highs = sorted(lo for lo, _ in scopes), sorted(hi for _, hi in scopes)
 
     def scopes_over(a: int, b: int) -> int:
@@ -90,10 +88,11 @@ def linked_spans(text: str, strong: list[Span], reach: int = REACH) -> list[Span
 
     parts = sorted([(s, e) for s, e, k in found if k == "secret"] + [(s, e) for s, e, k in strong if k in ("assign", "hex")])
     begins = [s for s, _ in parts]
+    nearest = list(accumulate((e for _, e in reversed(parts)), min))[::-1]  # least end of the parts from each on
     full = []  # scopes with a secret part
     for lo, hi in scopes:
         k = bisect_left(begins, lo)
-        if k < len(parts) and parts[k][1] <= hi:
+        if k < len(parts) and nearest[k] <= hi:
             full.append((lo, hi))
     full_lows, full_highs = sorted(lo for lo, _ in full), sorted(hi for _, hi in full)
     out = []
@@ -160,7 +159,13 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", reach: int = REACH) -> DataFrame:
-    """``docs`` with every reported span replaced; all rows and columns stay, ``chars_col`` follows where it exists."""
+    """``docs`` with every reported span replaced; all rows and columns stay, ``chars_col`` follows where it exists.
+
+    A null text stays null and an empty one empty; a text without spans is not
+    touched, nor its ``chars_col``.  Texts are redacted whole, whatever their
+    length, and repeated rows alike.  An empty table gives an empty result; other
+    columns pass through whatever their names.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
