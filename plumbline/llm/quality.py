@@ -2,8 +2,10 @@
 
 Thresholds come from KLL sketches, which merge: a group's sketch serves the
 group, the merged sketches of a language serve its small groups, and the merge
-of all serves small languages.  Measures are integers in millionths, so every
-comparison is exact.
+of all serves small languages.  A measure is a ratio of counts, in millionths;
+its fences lie so many quartile ranges outside its group's quartiles, and wider
+for texts with less to count than the group's median text, as the noise of a
+mean is.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from plumbline.llm.staging import Workspace
 
 SPACE = r"[\x20\x09-\x0D]+"
 SKETCH_K = 4096
-LEAST_ROWS = 100
 BROADCAST_GROUPS = 20_000
 MILLION = 1_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -27,8 +28,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Measure:
     """A ratio in millionths, kept while it lies within the fences around its group's quartiles.
 
-    ``slack`` is the least distance from a quartile to its fence, so a group whose
-    values hardly vary does not reject what every reader would call normal.
+    ``spread`` is the distance from a quartile to its fence in quartile ranges, at
+    least ``slack``: where half a group's values are equal the range is zero.
     """
 
     name: str
@@ -39,12 +40,13 @@ class Measure:
     low: bool = False
 
 
-# Fences in multiples of the quartile range and in millionths.
+# Fences in multiples of the quartile range, and the least distance in millionths.
 MEASURES = (
-    Measure("word_len", "word_chars", "n_words", 5, 4 * MILLION, low=True),
-    Measure("symbols", "n_symbols", "word_chars", 5, 100_000),
-    Measure("dup_lines", "n_dup_lines", "n_words", 5, 100_000),
+    Measure("word_len", "word_chars", "n_words", 5, MILLION // 2, low=True),
+    Measure("symbols", "n_symbols", "word_chars", 5, 20_000),
+    Measure("dup_lines", "n_dup_lines", "n_lines", 5, 350_000),
 )
+COUNTS = tuple(dict.fromkeys(m.den for m in MEASURES))
 
 
 def _words(text: Column) -> Column:
@@ -80,75 +82,68 @@ def _bind(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus the base counts under one struct column ``_q``; stage it before taking fields from it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def counts(text: Column) -> Column:
+    """The base counts and n_lines as one struct; stage it before taking fields from it."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def counts(words: Column) -> Column:
+    def with_lines(words: Column, lines: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            _bind(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             _bind(_windows(words), _repeat_words).cast("long").alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("n_lines"),
         )
 
-    return docs.withColumn("_q", _bind(_words(text), counts))
+    return _bind(_words(text), lambda words: _bind(lines, lambda held: with_lines(words, held)))
 
 
-def base_failed(q: str = "_q") -> Column:
-    n = F.col(f"{q}.n_words")
-    return (n < 10) | (100 * F.col(f"{q}.n_repeat_words") > 20 * n)
+def base_failed() -> Column:
+    n = F.col("q.n_words")
+    return (n < 10) | (100 * F.col("q.n_repeat_words") > 20 * n)
 
 
-def _value(m: Measure, q: str = "_q") -> Column:
-    return F.when(F.col(f"{q}.{m.den}") > 0, F.floor(F.col(f"{q}.{m.num}") * MILLION / F.col(f"{q}.{m.den}"))).cast("long")
+def _value(m: Measure) -> Column:
+    return F.when(F.col(f"q.{m.den}") > 0, F.floor(F.col(f"q.{m.num}") * MILLION / F.col(f"q.{m.den}"))).otherwise(0).cast("long")
 
 
-def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", q: str = "_q") -> DataFrame:
-    """lang, source and the low and high fences of each measure, from rows that pass the base rules.
+def thresholds(measured: DataFrame, least_rows: int) -> DataFrame:
+    """(lang, source, limit) from rows (lang, source, q) that pass the base rules.
 
-    Rows pre-aggregate into sketches before the shuffle, so a source with a third
-    of all rows costs one sketch per task.
+    ``limit`` has, per measure, its quartiles, the distance to the fences and the
+    median of its denominator.  Rows pre-aggregate into sketches before the
+    shuffle, so a source with a third of all rows costs one sketch per task.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    good = measured.where(~base_failed(q)).select(
-        key(lang_col).alias("lang"), key(source_col).alias("source"), *[_value(m, q).alias(m.name) for m in MEASURES]
+    names = [m.name for m in MEASURES] + list(COUNTS)
+    good = measured.where(~base_failed()).select(
+        "lang", "source", *[_value(m).alias(m.name) for m in MEASURES], *[F.col(f"q.{c}").alias(c) for c in COUNTS]
     )
-    sketch = [F.kll_sketch_agg_bigint(F.coalesce(F.col(m.name), F.lit(0)), F.lit(SKETCH_K)).alias(m.name) for m in MEASURES]
-    merged = [F.kll_merge_agg_bigint(F.col(m.name)).alias(m.name) for m in MEASURES]
-    total = F.sum("n").alias("n")
-    group = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketch)
-    lang = group.groupBy("lang").agg(total, *merged)
-    every = lang.agg(total, *merged)
+    group = good.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_bigint(F.col(c), F.lit(SKETCH_K)).alias(c) for c in names]
+    )
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(F.col(c)).alias(c) for c in names]]
+    lang = group.groupBy("lang").agg(*merged)
+    every = lang.agg(*merged)
 
     def fences(table: DataFrame, tag: str, *keys: str) -> DataFrame:
+        at = lambda c, r: F.kll_sketch_get_quantile_bigint(F.col(c), F.lit(r))
         out = []
         for m in MEASURES:
-            q1, q3 = (F.kll_sketch_get_quantile_bigint(F.col(m.name), F.lit(r)) for r in (0.25, 0.75))
+            q1, q3 = at(m.name, 0.25), at(m.name, 0.75)
             reach = F.greatest((q3 - q1) * m.spread, F.lit(m.slack))
-            out += [(q1 - reach).alias(f"{tag}{m.name}_lo"), (q3 + reach).alias(f"{tag}{m.name}_hi")]
-        return table.where(F.col("n") > 0).select(*keys, F.col("n").alias(f"{tag}n"), *out)
+            out.append(F.struct(q1.alias("q1"), q3.alias("q3"), reach.alias("reach"), at(m.den, 0.5).alias("mid")).alias(m.name))
+        return table.where(F.col("n") > 0).select(*keys, F.col("n").alias(f"{tag}_n"), F.struct(*out).alias(tag))
 
     rows = (
-        fences(group, "g_", "lang", "source")
-        .join(fences(lang, "l_", "lang"), "lang", "left")
-        .withColumn("_one", F.lit(1))
-        .join(fences(every, "a_").withColumn("_one", F.lit(1)), "_one", "left")
-    )
-
-    def pick(name: str) -> Column:
-        return (
-            F.when(F.col("g_n") >= LEAST_ROWS, F.col(f"g_{name}"))
-            .when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{name}"))
-            .otherwise(F.col(f"a_{name}"))
-            .alias(f"_{name}")
-        )
-
-    return rows.select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(f"{m.name}_{e}") for m in MEASURES for e in ("lo", "hi")]
+        fences(group, "own", "lang", "source")
+        .join(fences(lang, "wider", "lang"), "lang", "left")
+        .withColumn("one", F.lit(1))
+        .join(fences(every, "all").withColumn("one", F.lit(1)), "one", "left")
     )
+    limit = F.when(F.col("own_n") >= least_rows, F.col("own")).when(F.col("wider_n") >= least_rows, F.col("wider")).otherwise(F.col("all"))
+    return rows.select("lang", "source", limit.alias("limit"))
 
 
 def _small(limits: DataFrame) -> DataFrame:
@@ -156,51 +151,77 @@ def _small(limits: DataFrame) -> DataFrame:
     return F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
 
 
-def judged(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", q: str = "_q") -> DataFrame:
-    """``measured`` plus ``_base_failed`` and ``_kept``; a row without limits (its group has no row that passes) fails the base."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+def _measured(docs: DataFrame, columns: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """(row, lang, source, q): the columns kept as one struct, so that no name of theirs clashes with one of ours."""
+    key = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        key(lang_col).alias("lang"), key(source_col).alias("source"), counts(F.col(f"`{text_col}`")).alias("q"),
+    )
+
+
+def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """``measured`` plus failed and kept; a row whose group has no limit fails the base, as all its group does."""
     inside = F.lit(True)
     for m in MEASURES:
-        value = F.coalesce(_value(m, q), F.lit(0))
-        inside = inside & F.coalesce(value <= F.col(f"_{m.name}_hi"), F.lit(True))
+        limit = F.col(f"limit.{m.name}")
+        # a text with less to count than the median text is allowed the noise that comes with it
+        reach = limit["reach"] * F.sqrt(F.greatest(limit["mid"] / F.greatest(F.col(f"q.{m.den}"), F.lit(1)), F.lit(1.0)))
+        inside = inside & F.coalesce(_value(m) <= limit["q3"] + reach, F.lit(True))
         if m.low:
-            inside = inside & F.coalesce(value >= F.col(f"_{m.name}_lo"), F.lit(True))
-    joined = measured.withColumns({"_k_lang": key(lang_col), "_k_source": key(source_col)}).join(
-        limits, (F.col("_k_lang") == F.col("_lang")) & (F.col("_k_source") == F.col("_source")), "left"
-    )
-    return (
-        joined.withColumn("_base_failed", base_failed(q))
-        .withColumn("_kept", ~F.col("_base_failed") & inside)
-        .drop(*limits.columns, "_k_lang", "_k_source")
-    )
-
-
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
-    """One row per input row: id, the base counts, base_failed and kept.
-
-    The counts are staged as a narrow table, so texts are read once.  A null text
-    is empty and fails the base.  Null languages and sources are groups of their
-    own.  Repeated rows are judged alike; an empty table gives an empty result;
-    other columns are not read.
+            inside = inside & F.coalesce(_value(m) >= limit["q1"] - reach, F.lit(True))
+    failed = base_failed()
+    return measured.join(limits, ["lang", "source"], "left").select("row", "q", failed.alias("failed"), (~failed & inside).alias("kept"))
+
+
+def assess(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    least_rows: int = 100,
+    work: Workspace | None = None,
+) -> DataFrame:
+    """One row per input row: id, the base counts, base_failed, kept and n_lines.
+
+    The counts are staged as a narrow table, so texts are read once.  A group of
+    language and source has fences of its own from ``least_rows`` rows that pass
+    the base rules on; below that its language's serve it, and below that all
+    rows' do, for the quartiles of a few rows are noise.  A null text is empty
+    and fails the base.  Null languages and sources are groups of their own.
+    Texts of any length are counted whole.  Repeated rows are judged alike; an
+    empty table gives an empty result; other columns are not read.
     """
     work = work or Workspace(docs.sparkSession, "quality")
-    narrow = docs.select(F.col(id_col).alias("_id"), "lang", "source", F.col(text_col).cast("string").alias("_text"))
-    measured = work.stage(with_measures(narrow, "_text").drop("_text"), "measured")
-    limits = work.stage(thresholds(measured), "limits")
-    return judged(measured, _small(limits)).select(
-        F.col("_id").alias(id_col),
-        *[F.col(f"_q.{c}").alias(c) for c in BASE],
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
+    measured = work.stage(_measured(docs, [id_col], text_col, lang_col, source_col), "measured")
+    limits = work.stage(thresholds(measured, least_rows), "limits")
+    return _judged(measured, _small(limits)).select(
+        F.col("row")[id_col].alias(id_col),
+        *[F.col(f"q.{c}").alias(c) for c in BASE],
+        F.col("failed").alias("base_failed"),
+        "kept",
+        F.col("q.n_lines").alias("n_lines"),
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", work: Workspace | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns as they are."""
+def keep_good(
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    least_rows: int = 100,
+    work: Workspace | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with their columns as they are, whatever their names.
+
+    A null or empty text fails the base rules and goes; repeated rows stay or go
+    together; an empty table gives an empty result.
+    """
     work = work or Workspace(docs.sparkSession, "quality")
-    measured = work.stage(with_measures(docs, text_col), "measured")
-    limits = work.stage(thresholds(measured), "limits")
-    return judged(measured, _small(limits)).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    measured = work.stage(_measured(docs, docs.columns, text_col, lang_col, source_col), "measured")
+    limits = work.stage(thresholds(measured, least_rows), "limits")
+    return _judged(measured, _small(limits)).where("kept").select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
