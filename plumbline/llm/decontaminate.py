@@ -2,13 +2,16 @@
 
 For each item a document has windows of as many words.  Windows that hold no
 shingle of any item cannot be similar to one, so windows begin where an item's
-shingle occurs.  That loses nothing: a similar window moved right to its first
-such shingle (or to the end of the text) holds the same ones or more.
+shingle occurs, and are compared with the items that have that shingle.  That
+loses nothing: a similar window moved right to its first such shingle (or to the
+end of the text) holds the same ones or more.
 
 A window's 64-bit SimHash is cut into RADIUS + 1 blocks.  Two fingerprints within
-RADIUS bits agree in at least one block, so joining on (item size, block number,
-block value) finds all of them.  Candidates within the radius are then compared
-by weighted Jaccard similarity of their shingle multisets, exactly.
+RADIUS bits agree in at least one block, so joining on (item, block number,
+block value) finds all of them; the item in the key keeps the blocks, which are
+short, from meeting every item of the benchmark.  Shingles count with the number
+of their occurrence, so the weighted similarity of two windows is the similarity
+of two sets, which both the fingerprint and the exact check then see.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ BITS = 64
 #: Similarity 0.75 means 11 expected differing bits, deviation 3: this is four above.
 RADIUS = 23
 SHINGLE = 5
-#: Items are searched in blocks of so many shingles; a block's tables are broadcast (about 20 MB).
+#: Benchmarks of so many shingles at most have their tables broadcast (about 20 MB); larger ones are joined by shuffle.
 BLOCK_SHINGLES = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,6 +51,16 @@ def shingles(text: Column) -> Column:
     return F.transform(F.array(words), run)[0]
 
 
+def numbered(hashes: Column) -> Column:
+    """The multiset as a set: the second and later occurrences of a shingle hashed with their number."""
+
+    def place(h: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))
+        return F.when(before == 0, h).otherwise(F.xxhash64(h, before))
+
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(F.transform(hashes, place))
+
+
 def simhash(hashes: Column) -> Column:
     """Bit k is set iff more than half of the shingles, by weight, have it set."""
     ones = lambda k: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.getbit(h, k).cast("int"))
@@ -75,46 +88,44 @@ def block_keys(fingerprint: Column) -> Column:
     )
 
 
-def common_weight(a: Column, b: Column) -> Column:
-    """Sum of the smaller weights of the shingles of two multisets."""
-    times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    simple = F.size(F.array_intersect(a, b))
-    weighted = F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(times(a, v), times(b, v))
-    )
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    return F.when(plain, simple).otherwise(weighted)
-
+def _search(docs: DataFrame, items: DataFrame, percent: int, small: bool) -> DataFrame:
+    """Similar (id, item, window) of documents (id, hashes) and items (no, item, size, marks, mark).
 
-def _search(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Similar (id, item, window) of one block of items, whose tables have a checked size."""
-    by_hash = (
-        items.select("size", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.collect_set("size").alias("sizes"))
-    )
-    hits = docs.select("id", "hashes", F.posexplode_outer("hashes").alias("at", "hash")).join(F.broadcast(by_hash), "hash")
-    size, count = F.col("size"), F.size("hashes")
-    span = size - (SHINGLE - 1)
-    start = F.greatest(F.least(F.col("at"), count - span), F.lit(0))
-    windows = (
-        hits.select("id", "hashes", "at", F.explode("sizes").alias("size"))
-        .select("id", "size", start.alias("start"), F.slice("hashes", start + 1, span).alias("window"))
-        .withColumn("mark", simhash(F.col("window")))
+    The tables of a small benchmark are broadcast.  With a larger one the
+    positions of shingles are shuffled, narrow, to meet the items' shingles, and
+    only the documents that share one are shuffled after them.
+    """
+    sent = F.broadcast if small else (lambda table: table)
+    held = items.select("no", "size", F.explode(F.array_distinct("hashes")).alias("hash"))
+    by_hash = held.groupBy("hash", "size").agg(F.collect_set("no").alias("nos"))
+    if small:  # sizes of one shingle together: a document's row is copied once per position
+        sizes = by_hash.groupBy("hash").agg(F.collect_list(F.struct("size", "nos")).alias("sizes"))
+        hits = docs.select("id", "hashes", F.posexplode("hashes").alias("at", "hash")).join(F.broadcast(sizes), "hash")
+        hits = hits.select("id", "hashes", "at", F.inline("sizes"))
+    else:
+        key = F.xxhash64("id", "hashes")
+        spots = docs.select(key.alias("doc"), F.posexplode("hashes").alias("at", "hash")).distinct()
+        near = spots.join(by_hash, "hash").select("doc", "at", "size", "nos")
+        keyed_docs = docs.withColumn("doc", key).join(near.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        hits = near.join(keyed_docs, "doc").select("id", "hashes", "at", "size", "nos")
+    span = F.col("size") - (SHINGLE - 1)
+    start = F.greatest(F.least(F.col("at"), F.size("hashes") - span), F.lit(0))
+    windows = hits.select(
+        "id", "size", "nos", start.alias("start"), numbered(F.slice("hashes", start + 1, span)).alias("window")
+    ).withColumn("mark", simhash(F.col("window")))
+    keyed = windows.select("id", "size", "start", "window", "mark", F.explode("nos").alias("no")).select(
+        "*", F.inline(block_keys(F.col("mark")))
     )
-    keyed = windows.select("*", F.inline(block_keys(F.col("mark"))))
     index = items.select(
-        F.col("item"),
-        F.col("size"),
-        F.col("hashes").alias("item_hashes"),
-        F.col("mark").alias("item_mark"),
-        F.inline(block_keys(F.col("mark"))),
+        "no", "item", F.col("marks").alias("item_marks"), F.col("mark").alias("item_mark"), F.inline(block_keys(F.col("mark")))
     )
     apart = F.col("mark").bitwiseXOR(F.col("item_mark"))
     first = F.coalesce(*[F.when(_block(apart, k) == 0, F.lit(k)) for k in range(len(BLOCKS))])
     near = (
-        keyed.join(F.broadcast(index), ["size", "block", "value"])
+        keyed.join(sent(index), ["no", "block", "value"])
         .where((F.bit_count(apart) <= RADIUS) & (first == F.col("block")))
-        .withColumn("common", common_weight(F.col("window"), F.col("item_hashes")))
-        .withColumn("union", F.size("window") + F.size("item_hashes") - F.col("common"))
+        .withColumn("common", F.size(F.array_intersect("window", "item_marks")))
+        .withColumn("union", F.size("window") + F.size("item_marks") - F.col("common"))
         .where(100 * F.col("common") >= percent * F.col("union"))
     )
     found = F.struct((F.col("common") / F.col("union")).alias("similarity"), (-F.col("start")).alias("back"))
@@ -144,32 +155,35 @@ def contaminated(
 
     The best window is given, the first of equals.  A document shorter than the
     item is one window.  Texts and items that are null, empty or under five words
-    hold no shingle and match nothing.  Repeated rows of an id count as one
-    document.  Empty tables give an empty result.  Larger benchmarks are searched
-    block by block of items, each against all documents, so what is broadcast
-    never grows with the data.
+    hold no shingle and match nothing; texts of any length are searched whole.
+    Repeated rows of an id count as one document, rows without an id as one
+    without; items that share an id are each searched, the best one given.
+    Empty tables give an empty result; other columns are not read.  What is
+    broadcast has a checked size: see ``BLOCK_SHINGLES``.
     """
     hashed = (
-        bench.select(F.col(item_col).alias("item"), shingles(F.col(item_text)).alias("hashes"))
+        bench.select(F.col(f"`{item_col}`").alias("item"), shingles(F.col(f"`{item_text}`")).alias("hashes"))
         .where(F.size("hashes") > 0)
-        .select("item", "hashes", (F.size("hashes") + SHINGLE - 1).alias("size"))
-        .withColumn("mark", simhash(F.col("hashes")))
+        .select("item", "hashes", (F.size("hashes") + SHINGLE - 1).alias("size"), numbered(F.col("hashes")).alias("marks"))
+        .withColumns({"mark": simhash(F.col("marks")), "no": F.xxhash64("item", "hashes")})
+        .dropDuplicates(["no"])
     )
-    texts = docs.select(F.col(id_col).alias("id"), shingles(F.col(text_col)).alias("hashes"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), shingles(F.col(f"`{text_col}`")).alias("hashes"))
     total = hashed.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    out = None
-    for k in range(blocks):
-        part = hashed if blocks == 1 else hashed.where(F.pmod(F.xxhash64("item", "hashes"), F.lit(blocks)) == k)
-        got = _search(texts, part, percent)
-        out = got if out is None else out.unionByName(got)
+    out = _search(texts, hashed, percent, total <= BLOCK_SHINGLES)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "start_word", "n_words")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a window similar to an item, columns as they are."""
-    dirty = contaminated(docs, bench, id_col=id_col, text_col=text_col).select(id_col).distinct()
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty[id_col]), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` without a window similar to an item, columns as they are, whatever their names.
+
+    All rows of an id go if one of them holds such a window.  A null, empty or
+    short text holds none, so its row stays, as do all rows where either table is
+    empty.
+    """
+    dirty = contaminated(docs, bench, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(dirty, rows["id"].eqNullSafe(dirty["id"]), "left_anti").select("row.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
