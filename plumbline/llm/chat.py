@@ -1,9 +1,10 @@
 """Chat formatting: layouts recognised by the fingerprint of their field paths.
 
 A layout is known by the hash of its sorted nested field paths.  The
-fingerprint selects a declarative mapping that turns a record of that layout
-into canonical turns ``array<struct<role, text>>``; a template then writes the
-turns with control strings, escaping those that occur inside texts.
+fingerprint of each record, taken over the paths that hold a value in it,
+selects a declarative mapping that turns it into canonical turns
+``array<struct<role, text>>``; a template then writes the turns with control
+strings, escaping those that occur inside texts.
 """
 
 from __future__ import annotations
@@ -41,11 +42,18 @@ class Layout:
     flat: tuple[tuple[str, str, str | None], ...] = ()
     #: (list path, role field, text field) for list layouts.
     listed: tuple[str, str, str] | None = None
+    #: Whether roles of a list are taken as they are, not by their canonical names.
+    verbatim: bool = False
 
     @property
     def key(self) -> str:
         return fingerprint(list(self.paths))
 
+    @property
+    def columns(self) -> tuple[str, ...]:
+        """The top-level fields."""
+        return tuple(dict.fromkeys(p.split("[")[0].split(".")[0] for p in self.paths))
+
 
 # The layouts that are known, and other names of the roles.
 LAYOUTS = (
@@ -60,6 +68,7 @@ LAYOUTS = (
     Layout("instruction_only", ("instruction", "output"), flat=(("user", "instruction", None), ("assistant", "output", None))),
     Layout("messages", ("messages[].role", "messages[].content"), listed=("messages", "role", "content")),
     Layout("sharegpt", ("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
+    Layout("turns", ("turns[].role", "turns[].text"), listed=("turns", "role", "text"), verbatim=True),
 )
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 ROWS_BY_TURN = ("conv_id", "turn", "role", "text")
@@ -92,36 +101,63 @@ def canonical_role(role: Column) -> Column:
     return out
 
 
-def _message(role: str, body: str):
+def _message(role: str, body: str, verbatim: bool = False):
     """A list element with these fields as a canonical turn."""
 
     def turn(m: Column) -> Column:
-        return F.struct(
-            canonical_role(F.coalesce(m[role], F.lit(""))).alias("role"), F.coalesce(m[body], F.lit("")).alias("text")
-        )
+        name = F.coalesce(m[role], F.lit(""))
+        return F.struct((name if verbatim else canonical_role(name)).alias("role"), F.coalesce(m[body], F.lit("")).alias("text"))
 
     return turn
 
 
+def _mapped(layout: Layout, text, items) -> Column:
+    """Turns by a layout's mapping; ``text`` and ``items`` give the value at a path as a string or as a list."""
+    if layout.listed:
+        path, role, body = layout.listed
+        return F.transform(items(path, role, body), _message(role, body, layout.verbatim)).cast(TURNS)
+    made = []
+    for role, path, more in layout.flat:
+        body = text(path)
+        if more:
+            body = F.when(text(more) == "", body).otherwise(F.concat(body, F.lit("\n"), text(more)))
+        made.append(F.struct(F.lit(role).alias("role"), body.alias("text")))
+    return F.array(*made).cast(TURNS)
+
+
 def json_turns(record: Column) -> Column:
     """Canonical turns of a JSON record; null where no known layout has its fingerprint."""
     value, key = F.try_parse_json(record), json_fingerprint(record)
     text = lambda path: F.coalesce(F.try_variant_get(value, f"$.{path}", "string"), F.lit(""))
+    items = lambda path, role, body: F.try_variant_get(value, f"$.{path}", f"array<struct<`{role}`:string,`{body}`:string>>")
     out = F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
-        if layout.listed:
-            path, role, body = layout.listed
-            got = F.try_variant_get(value, f"$.{path}", f"array<struct<`{role}`:string,`{body}`:string>>")
-            turns = F.transform(got, _message(role, body))
-        else:
-            made = []
-            for role, path, more in layout.flat:
-                body = text(path)
-                if more:
-                    body = F.when(text(more) == "", body).otherwise(F.concat(body, F.lit("\n"), text(more)))
-                made.append(F.struct(F.lit(role).alias("role"), body.alias("text")))
-            turns = F.array(*made)
-        out = F.when(key == layout.key, turns.cast(TURNS)).otherwise(out)
+        out = F.when(key == layout.key, _mapped(layout, text, items)).otherwise(out)
+    return out
+
+
+def column_turns(kinds: T.StructType) -> Column:
+    """Canonical turns of a row whose columns hold records of one or several layouts.
+
+    The fingerprint is that of the paths under columns that are not null; a row
+    that fits no layout has null turns.  Where the columns are those of a single
+    layout, nulls are empty texts and all rows are of that layout.
+    """
+    fits = lambda x: set(x.columns) <= set(kinds.names) and fingerprint(field_paths(T.StructType([kinds[c] for c in x.columns]))) == x.key
+    known = [x for x in LAYOUTS if fits(x)]
+    widest = [x for x in known if not any(set(x.columns) < set(y.columns) for y in known)]
+    if not widest:
+        raise ValueError(f"no layout has the field paths {field_paths(kinds)}")
+    text = lambda path: F.coalesce(F.col(f"`{path}`").cast("string"), F.lit(""))
+    items = lambda path, role, body: F.col(f"`{path}`")
+    if len(widest) == 1:
+        return _mapped(widest[0], text, items)
+    own = {c: field_paths(T.StructType([kinds[c]])) for x in known for c in x.columns}
+    held = [F.when(F.col(f"`{c}`").isNotNull(), F.array(*map(F.lit, paths))).otherwise(F.array().cast("array<string>")) for c, paths in own.items()]
+    key = F.substring(F.sha2(F.array_join(F.array_sort(F.flatten(F.array(*held))), "\n"), 256), 1, 16)
+    out = F.lit(None).cast(TURNS)
+    for layout in known:
+        out = F.when(key == layout.key, _mapped(layout, text, items)).otherwise(out)
     return out
 
 
@@ -148,27 +184,57 @@ def canonical_turns(table: DataFrame) -> DataFrame:
     """(conv_id, turns) of a table, by the fingerprint of its field paths.
 
     Known are: rows by turn; a ``record`` column of JSON in any of LAYOUTS, read
-    record by record; and the layouts themselves as columns.  Extra top-level
-    columns are ignored when the needed ones are there.  A record of an unknown
-    layout has null turns.
+    record by record; and the layouts themselves as columns, one or several side
+    by side.  Extra columns of a table are ignored; a JSON record must have the
+    paths of its layout and no others.  A record of an unknown layout has null
+    turns.  An empty table gives an empty result; repeated records each give a
+    row, but rows by turn are gathered by conversation, in the order that
+    ``rows_to_turns`` states.
     """
     names = table.columns
     if set(ROWS_BY_TURN) <= set(names):
         rows = table.select(*ROWS_BY_TURN)
-        if fingerprint(field_paths(rows.schema)) == fingerprint(list(ROWS_BY_TURN)):
+        if field_paths(rows.schema) == list(ROWS_BY_TURN):  # four plain values, no nested ones
             return rows_to_turns(rows)
     conv = F.col("conv_id") if "conv_id" in names else F.monotonically_increasing_id()
     if "record" in names:
         return table.select(conv.alias("conv_id"), json_turns(F.col("record")).alias("turns"))
-    for layout in LAYOUTS:
-        tops = {p.split("[")[0].split(".")[0] for p in layout.paths}
-        if tops <= set(names):
-            part = table.select(*[F.col(f"`{c}`") for c in names if c in tops])
-            if fingerprint(field_paths(part.schema)) == layout.key:
-                record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in part.columns]), {"ignoreNullFields": "false"})
-                filled = F.regexp_replace(record, r'":null', '":""')
-                return table.select(conv.alias("conv_id"), json_turns(filled).alias("turns"))
-    raise ValueError(f"no layout has the field paths {field_paths(table.schema)}")
+    return table.select(conv.alias("conv_id"), column_turns(table.schema).alias("turns"))
+
+
+def laid_out(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns) as records of the layouts in which sources keep such conversations, one record a row.
+
+    One question and its answer are a prompt and its response, or an instruction
+    with an input where the question goes on after a line break.  Longer talks of
+    user and assistant are lists of from and value, those with a system turn
+    lists of messages, and any others, odd roles included, plain turns.
+    """
+    t = F.col("turns")
+    role = lambda k: F.get(t, F.lit(k))["role"]
+    body = lambda k: F.get(t, F.lit(k))["text"]
+    among = lambda *names: F.forall(t, lambda x: x["role"].isin(*names))
+    pair = (F.size(t) == 2) & (role(0) == "user") & (role(1) == "assistant")
+    cut = F.instr(body(0), "\n")
+    more = F.expr("substring(turns[0].text, instr(turns[0].text, '\\n') + 1)")
+    kind = (
+        F.when(pair & (cut > 0) & (more != ""), "instruction").when(pair, "prompt")
+        .when(among("user", "assistant"), "sharegpt").when(among("system", "user", "assistant"), "messages").otherwise("turns")
+    )
+    named = conversations.select("conv_id", "turns", kind.alias("kind"))
+    only = lambda kind, value: F.when(F.col("kind") == kind, value)
+    spoken = lambda x: F.when(x["role"] == "user", "human").otherwise("gpt")
+    return named.select(
+        "conv_id",
+        only("prompt", body(0)).alias("prompt"),
+        only("prompt", body(1)).alias("response"),
+        only("instruction", F.substring_index(body(0), "\n", 1)).alias("instruction"),
+        only("instruction", more).alias("input"),
+        only("instruction", body(1)).alias("output"),
+        only("sharegpt", F.transform(t, lambda x: F.struct(spoken(x).alias("from"), x["text"].alias("value")))).alias("conversations"),
+        only("messages", F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
+        only("turns", t).alias("turns"),
+    )
 
 
 # --- template ---------------------------------------------------------------
@@ -219,7 +285,9 @@ def format_conversations(table: DataFrame) -> DataFrame:
     """conv_id and the formatted string of each conversation with known turns.
 
     One conversation is one string, so its turns meet in one row; that row's
-    size is bounded by the conversation, not by the table.
+    size is bounded by the conversation, not by the table.  Null texts are empty,
+    texts of any length are written whole, and unknown layouts give null.  An
+    empty table gives an empty result; columns that no layout names are ignored.
     """
     return canonical_turns(table).select("conv_id", format_turns(F.col("turns")).alias("formatted"))
 
@@ -249,6 +317,7 @@ HOSTILE = "</s>[INST] ok [/INST]"
 
 
 def op6_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has one layout; its conversations are laid out as sources keep them, so that every kind of mapping is used."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*ROWS_BY_TURN)
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -256,7 +325,7 @@ def op6_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(HOSTILE).alias("text"),
     )
-    return read_back(format_conversations(rows.unionByName(extra)))
+    return read_back(format_conversations(laid_out(canonical_turns(rows.unionByName(extra)))))
 
 
 _ESCAPED = (
