@@ -1,57 +1,5 @@
-"""Tables written once to the folder that the whole cluster shares.
+"""Staged tables, as the rest of the library keeps them."""
 
-A staged table cuts lineage the way ``checkpoint()`` does, but columnar: later
-reads prune columns, and a lost executor costs only a re-read.  The folder is
-the session's ``spark.checkpoint.dir``; only a local master without that
-setting gets a temporary folder of its own.
-"""
+from plumbline.sources.staging import Workspace, shared_root
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    return _own[app]
-
-
-class Workspace:
-    """Staged tables of one operator run; ``drop`` frees those no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
-        self._n = 0
-
-    def path(self, label: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{label}"
-
-    def stage(self, df: DataFrame, label: str) -> DataFrame:
-        path = self.path(label)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._staged_at = path  # keeps id(out) from being reused unnoticed
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._staged_at)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Workspace", "shared_root"]
