@@ -205,7 +205,8 @@ def split_lines(lines: DataFrame, points: DataFrame, tol: float = 1e-6) -> DataF
     """(id, piece, x1, y1, x2, y2): lines cut at points (id, x, y) of their own, pieces in order along the line."""
     c = F.col
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
-    t = ((c("p.x") - c("x1")) * dx + (c("p.y") - c("y1")) * dy) / (dx * dx + dy * dy)
+    long = dx * dx + dy * dy  # a line without length stays whole
+    t = F.when(long > 0, ((c("p.x") - c("x1")) * dx + (c("p.y") - c("y1")) * dy) / long)
     by = points.groupBy("id").agg(F.collect_set(F.struct("x", "y")).alias("ps"))
     cut = lines.join(by, "id", "left").select("id", "x1", "y1", "x2", "y2", F.explode_outer("ps").alias("p")).withColumn("t", t)
     inner = cut.where(c("t").isNotNull() & (c("t") > tol) & (c("t") < 1 - tol)).groupBy("id").agg(

@@ -1,9 +1,12 @@
 """Spatial joins as equi-joins on grid cells.
 
 A box goes to the grid whose cell is no smaller than the box, so it covers at
-most four cells however long it is, and to every coarser grid that occurs.  Two
-boxes meet on the coarser of their grids, in the one cell that owns the lower
-left corner of their intersection: each pair comes once, without ``distinct``.
+most four cells however long it is.  It is also copied up to every coarser grid
+that the other side has boxes of.  Two boxes meet on the coarser of their grids:
+own with own, or own with a copy from below, never copy with copy, so one large
+box costs as many rows as there are small ones, not their square.  The pair is
+kept in the one cell that owns the lower left corner of the intersection: each
+comes once, without ``distinct``.
 """
 
 from __future__ import annotations
@@ -32,43 +35,46 @@ def _level(cell: float) -> Column:
     return F.ceil(F.log2(size / cell)).cast("int")
 
 
-def _levels(*tables: DataFrame, cell: float) -> list[int]:
+def _levels(table: DataFrame, cell: float) -> list[int]:
     """The grids that occur: at most one per doubling of size."""
-    found: set[int] = set()
-    for t in tables:
-        found |= {r[0] for r in t.select(_level(cell).alias("g")).distinct().collect() if r[0] is not None}
-    return sorted(found)
-
-
-def _celled(table: DataFrame, tag: str, cell: float, levels: list[int]) -> DataFrame:
-    side = lambda g, lo, hi: F.sequence(
-        F.floor(F.col(lo) / (cell * F.pow(F.lit(2.0), g))), F.floor(F.col(hi) / (cell * F.pow(F.lit(2.0), g)))
+    return sorted(r[0] for r in table.select(_level(cell).alias("g")).distinct().collect() if r[0] is not None)
+
+
+#: How a row takes part in a cell: with its own grid on both sides, or as the coarse or the copied side.
+_LEVEL, _COARSE, _COPIED = 0, 1, 2
+
+
+def _celled(table: DataFrame, tag: str, cell: float, others: list[int], by: tuple[str, ...]) -> DataFrame:
+    """``table`` by grid cell and part; the parts of side b are turned over, so that coarse meets copied."""
+    coarse, copied = (_COARSE, _COPIED) if tag == "a" else (_COPIED, _COARSE)
+    g = F.col("_g")
+    place = lambda level, part: F.struct(level.cast("int").alias("g"), F.lit(part).alias("part"))
+    places = [F.array(place(g, _LEVEL))]
+    if others:
+        nowhere = F.array().cast("array<struct<g:int,part:int>>")
+        places.append(F.when(g > min(others), F.array(place(g, coarse))).otherwise(nowhere))
+        above = F.filter(F.array(*[F.lit(x) for x in others]), lambda x: x > g)
+        places.append(F.transform(above, lambda x: place(x, copied)))
+    side = lambda lo, hi: F.sequence(
+        F.floor(F.col(lo) / (cell * F.pow(F.lit(2.0), F.col("_p.g")))), F.floor(F.col(hi) / (cell * F.pow(F.lit(2.0), F.col("_p.g"))))
     )
-    every = F.flatten(
+    cells = F.flatten(
         F.transform(
-            F.filter(F.array(*[F.lit(g) for g in levels]), lambda g: g >= F.col("_g")),
-            lambda g: F.flatten(
-                F.transform(
-                    side(g, "minx", "maxx"),
-                    lambda cx: F.transform(
-                        side(g, "miny", "maxy"), lambda cy: F.struct(g.alias("g"), cx.alias("cx"), cy.alias("cy"))
-                    ),
-                )
-            ),
+            side("minx", "maxx"), lambda cx: F.transform(side("miny", "maxy"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
         )
     )
-    named = table.withColumn("_g", _level(cell)).withColumn("_c", F.explode(every))
-    return named.select(
-        F.col("_c.g").alias("_grid"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"), F.col("_g").alias(f"{tag}_g"),
+    placed = table.withColumn("_g", _level(cell)).where("_g IS NOT NULL").withColumn("_p", F.explode(F.concat(*places)))
+    return placed.withColumn("_c", F.explode(cells)).select(
+        F.col("_p.g").alias("_grid"), F.col("_p.part").alias("_part"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"),
+        *[F.col(f"`{c}`").alias(f"_by{k}") for k, c in enumerate(by)],
         *[F.col(f"`{c}`").alias(f"{tag}_{c}") for c in table.columns],
     )
 
 
-def box_join(a: DataFrame, b: DataFrame, cell: float, on: Column | None = None) -> DataFrame:
-    """Pairs of rows whose boxes meet (borders included), columns prefixed ``a_`` and ``b_``."""
-    levels = _levels(a, b, cell=cell)
-    if not levels:
-        levels = [0]
+def box_join(a: DataFrame, b: DataFrame, cell: float, on: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose boxes meet (borders included), columns prefixed ``a_`` and ``b_``, equal in the columns ``by``."""
+    levels_a = _levels(a, cell)
+    levels_b = levels_a if a is b else _levels(b, cell)
     size = cell * F.pow(F.lit(2.0), F.col("_grid"))
     owner = (F.floor(F.greatest("a_minx", "b_minx") / size) == F.col("_cx")) & (
         F.floor(F.greatest("a_miny", "b_miny") / size) == F.col("_cy")
@@ -79,9 +85,9 @@ def box_join(a: DataFrame, b: DataFrame, cell: float, on: Column | None = None)
         & (F.col("a_miny") <= F.col("b_maxy"))
         & (F.col("b_miny") <= F.col("a_maxy"))
     )
-    pairs = _celled(a, "a", cell, levels).join(_celled(b, "b", cell, levels), ["_grid", "_cx", "_cy"])
-    out = pairs.where((F.greatest("a_g", "b_g") == F.col("_grid")) & owner & meet)
-    out = out.drop("_grid", "_cx", "_cy", "a_g", "b_g")
+    keys = ["_grid", "_part", "_cx", "_cy", *[f"_by{k}" for k in range(len(by))]]
+    pairs = _celled(a, "a", cell, levels_b, by).join(_celled(b, "b", cell, levels_a, by), keys)
+    out = pairs.where(owner & meet).drop(*keys)
     return out if on is None else out.where(on)
 
 

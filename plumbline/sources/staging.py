@@ -3,7 +3,8 @@
 A staged table cuts lineage the way ``checkpoint()`` does, but columnar: later
 reads prune columns, and a lost executor costs only a re-read.  The folder is
 the session's ``spark.checkpoint.dir``; only a local master without that
-setting gets a temporary folder of its own.
+setting gets a temporary folder of its own.  What a run has not dropped goes when
+the driver ends, since results are read from it until then.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local["):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -34,8 +36,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         self._n = 0
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -45,8 +50,7 @@ class Workspace:
         path = self.path(label)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._staged_at = path  # keeps id(out) from being reused unnoticed
+        out._staged_at = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
