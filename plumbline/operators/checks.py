@@ -107,10 +107,13 @@ def survivors(e: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_vertices(points: DataFrame, tol: float = 0.005, same: float = 1e-5) -> DataFrame:
     """(id, anchor) of points (id, x, y) near but not equal to others: the anchor is the least id reachable."""
-    pairs = joins.radius_pairs(points, tol).where(F.col("d2") > same * same)
+    places = points.groupBy("x", "y").agg(F.min("id").alias("id"))  # points in one place are near the same others
+    pairs = joins.radius_pairs(places, tol).where(F.col("d2") > same * same)
     ids = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct()
     comp = graph.components(ids, pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    return comp.withColumnRenamed("component", "anchor")
+    return points.join(places.withColumnRenamed("id", "place"), ["x", "y"]).join(comp, F.col("place") == comp["id"]).select(
+        points["id"], F.col("component").alias("anchor")
+    )
 
 
 def crotch_points(e: DataFrame) -> DataFrame:
@@ -147,6 +150,14 @@ def missing_vertices(e: DataFrame, cell: float = 8.0, tol: float = g.POINT_TOLER
     return points.join(own, (F.col("id") == F.col("o")) & (key("x") == F.col("kx")) & (key("y") == F.col("ky")), "left_anti")
 
 
+def related(findings: DataFrame) -> DataFrame:
+    """(action_type, id, other_type, other_id) of findings (action_type, id, source_ids) that share a source, each pair once."""
+    by = findings.select("action_type", "id", F.explode(F.array_distinct("source_ids")).alias("source"))
+    other = by.select(F.col("action_type").alias("other_type"), F.col("id").alias("other_id"), "source")
+    first = (F.col("action_type") < F.col("other_type")) | ((F.col("action_type") == F.col("other_type")) & (F.col("id") < F.col("other_id")))
+    return by.join(other, "source").where(first).select("action_type", "id", "other_type", "other_id").distinct()
+
+
 # --- fixes -------------------------------------------------------------------
 
 
@@ -302,19 +313,19 @@ def first_fixes(findings: DataFrame) -> DataFrame:
     return findings.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
-def clean(entities: DataFrame, names: tuple[str, ...], rounds: int = 10) -> DataFrame:
-    """Check, fix, recheck until nothing that has a fix is found, or the count no longer changes."""
+def clean(entities: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Check, fix, recheck until nothing that has a fix is found, or the same findings come again."""
     from plumbline.sources.staging import Workspace
 
     work = Workspace(entities.sparkSession, "clean")
-    now, before = work.stage(entities, "entities"), None
+    now, seen = work.stage(entities, "entities"), set()
     todo = [a for a in ACTIONS if a.name in names and a.fix]
-    for _ in range(rounds):
+    while True:
         found = work.stage(run_checks(now, tuple(a.name for a in todo)), "findings")
-        count = found.count()
-        if not count or count == before:
+        state = tuple(found.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*found.columns))).first())
+        if not state[0] or state in seen:
             break
-        before = count
+        seen.add(state)
         fixed = now
         chosen = first_fixes(found)
         for a in todo:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import snap
@@ -46,23 +46,114 @@ def dangling_ends(lines: DataFrame, tol: float = 5e-5) -> DataFrame:
     return every.where("x <> ox OR y <> oy").join(alone, ["kx", "ky"], "left_semi").select("id", "end", "x", "y", "ox", "oy")
 
 
+def _peel(left: DataFrame, tol: float, work: Workspace) -> tuple[DataFrame | None, DataFrame]:
+    """(dangling paths or none, the rest) of lines."""
+    at = ends(left, tol).select("id", "kx", "ky")
+    nodes = at.groupBy("kx", "ky").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    nodes = work.stage(nodes.where("n <= 2"), "nodes")
+    lone = nodes.where("n = 1").select(F.col("a").alias("id"))
+    if lone.isEmpty():
+        return None, left
+    paths = components(left.select("id"), nodes.where("n = 2 AND a <> b").select("a", "b"))
+    loose = paths.join(paths.join(lone, "id").select("component").distinct(), "component", "left_semi").select("id")
+    loose = work.stage(loose, "loose")
+    return work.stage(left.join(loose, "id", "left_semi"), "off"), work.stage(left.join(loose, "id", "left_anti"), "left")
+
+
+def core(lines: DataFrame, tol: float = 5e-5) -> DataFrame:
+    """The lines left when all dangling chains are gone."""
+    work = Workspace(lines.sparkSession, "core")
+    left = work.stage(lines.where("x1 <> x2 OR y1 <> y2"), "left")
+    while True:
+        off, left = _peel(left, tol, work)
+        if off is None:
+            return left
+
+
+def noded(segs: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(id, source, x1, y1, x2, y2): distinct undirected pieces of lines cut wherever they meet; the id is the pair of ends."""
+    from plumbline.operators import checks
+    from plumbline.operators.joins import box_join, hits, with_box
+
+    c = F.col
+    boxed = with_box(segs.select("id", "x1", "y1", "x2", "y2"), grow=1e-6)
+    met = box_join(boxed, boxed, cell, c("a_id") < c("b_id")).withColumn("p", F.explode(hits()))
+    cuts = met.select(F.explode(F.array("a_id", "b_id")).alias("id"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")).distinct()
+    point = lambda k: F.struct(F.round(f"x{k}", 6).alias("x"), F.round(f"y{k}", 6).alias("y"))
+    pieces = checks.split_lines(segs, cuts).select("id", F.least(point(1), point(2)).alias("a"), F.greatest(point(1), point(2)).alias("b"))
+    once = pieces.where("a <> b").groupBy("a", "b").agg(F.min("id").alias("source"))
+    return once.select(F.struct("a", "b").alias("id"), "source", c("a.x").alias("x1"), c("a.y").alias("y1"), c("b.x").alias("x2"), c("b.y").alias("y2"))
+
+
+def faces(pieces: DataFrame) -> DataFrame:
+    """(edge, forward, source, x, y, tx, ty, face): the directed edges of noded pieces with the cycle that lies to their left.
+
+    At the end of an edge the next one is the first to its right, found by a
+    window over the edges that leave that node; cycles are the components of that
+    relation.  A cycle is named by its least edge.  No region meets in one task.
+    """
+    work = Workspace(pieces.sparkSession, "faces")
+    c = F.col
+    way = lambda f, a, b: F.struct(F.lit(f).alias("forward"), c(f"x{a}").alias("x"), c(f"y{a}").alias("y"), c(f"x{b}").alias("tx"), c(f"y{b}").alias("ty"))
+    both = pieces.select(c("id").alias("edge"), "source", F.inline(F.array(way(True, 1, 2), way(False, 2, 1))))
+    both = work.stage(both.withColumn("angle", F.atan2(c("ty") - c("y"), c("tx") - c("x"))), "directed")
+    around = Window.partitionBy("x", "y").orderBy("angle")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    me = F.struct("edge", "forward")
+    turned = both.select("edge", "forward", F.coalesce(F.lag(me).over(around), F.last(me).over(whole)).alias("next"))
+    steps = turned.select(F.struct("edge", (~c("forward")).alias("forward")).alias("a"), c("next").alias("b"))
+    cycles = components(both.select(me.alias("id")), steps)
+    named = cycles.select(c("id.edge").alias("edge"), c("id.forward").alias("forward"), c("component").alias("face"))
+    return both.drop("angle").join(named, ["edge", "forward"])
+
+
+def bounded_faces(segs: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(face, source, area, n_vertices) of the bounded faces of lines, dangling ends left out; source is the least line of a face."""
+    f = faces(core(noded(segs, cell)))
+    size = F.sum(F.col("x") * F.col("ty") - F.col("tx") * F.col("y")) / 2
+    out = f.groupBy("face").agg(F.round(size, 6).alias("area"), F.count(F.lit(1)).cast("int").alias("n_vertices"), F.min("source").alias("source"))
+    return out.where("area > 0").select("face", "source", "area", "n_vertices")
+
+
+def in_loops(segs: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(id) of lines with a piece in some loop: one that has different cycles on its two sides."""
+    f = faces(core(noded(segs, cell)))
+    sides = f.groupBy("edge").agg(F.min("face").alias("l"), F.max("face").alias("r"))
+    pieces = noded(segs, cell).select(F.col("id").alias("edge"), "source")
+    return sides.where("l <> r").join(pieces, "edge").select(F.col("source").alias("id")).distinct()
+
+
+def snap_clusters(lines: DataFrame, tol: float = 2.0) -> DataFrame:
+    """(id, end, cluster, x, y): dangling ends within tol of others, and the middle of their cluster's box.
+
+    The cluster is its least end, as 2 id + end.
+    """
+    from plumbline.operators.joins import radius_pairs
+
+    tips = dangling_ends(lines).select((F.col("id") * 2 + F.col("end")).alias("pid"), "id", "end", "x", "y")
+    pairs = radius_pairs(tips.select(F.col("pid").alias("id"), "x", "y"), tol).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    named = tips.join(components(nodes, pairs).select(F.col("id").alias("pid"), F.col("component").alias("cluster")), "pid")
+    middle = lambda c: F.round((F.min(c) + F.max(c)) / 2, 6).alias(c)
+    return named.select("id", "end", "cluster").join(named.groupBy("cluster").agg(middle("x"), middle("y")), "cluster").select("id", "end", "cluster", "x", "y")
+
+
 def dangling_chains(lines: DataFrame, most: float, tol: float = 5e-5) -> DataFrame:
     """(id, chain, chain_length) of curves peeled from degree-one nodes, chains of length ``most`` or less.
 
-    Each round removes the curves that own a node of degree one; what is left are
-    loops and the curves between them.
+    Each round removes whole paths: curves joined at nodes of degree two, of which
+    one node has degree one.  So a path of any length takes one round, and a tree
+    as many as the logarithm of its size; what is left are loops and the curves
+    between them.
     """
     work = Workspace(lines.sparkSession, "chains")
     left = work.stage(lines.where("x1 <> x2 OR y1 <> y2").select("id", "x1", "y1", "x2", "y2"), "left")
     peeled = None
     while True:
-        every = ends(left, tol)
-        lone = every.groupBy("kx", "ky").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("id").distinct()
-        off = work.stage(left.join(lone, "id", "left_semi"), "off")
-        if off.isEmpty():
+        off, left = _peel(left, tol, work)
+        if off is None:
             break
         peeled = off if peeled is None else peeled.union(off)
-        left = work.stage(left.join(lone, "id", "left_anti"), "left")
     if peeled is None:
         return lines.select("id", F.col("id").alias("chain"), F.lit(0.0).alias("chain_length")).limit(0)
     at = ends(peeled, tol)

@@ -23,6 +23,34 @@ def rings(entities: DataFrame) -> DataFrame:
     )
 
 
+def _box(ring: list) -> tuple | None:
+    """The corners of an axis-parallel rectangle of four vertices, else none."""
+    if len(ring) != 4:
+        return None
+    xs, ys = sorted({p[0] for p in ring}), sorted({p[1] for p in ring})
+    sides = all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+    return (xs[0], ys[0], xs[1], ys[1]) if len(xs) == len(ys) == 2 and sides else None
+
+
+def _combined(a: list, b: list, operation: str) -> tuple[float, int] | None:
+    """(area, parts) of an operation on two rings, or none if their interiors share a sliver at most."""
+    p, q = _box(a), _box(b)
+    if p and q:
+        shared = max(0.0, min(p[2], q[2]) - max(p[0], q[0])) * max(0.0, min(p[3], q[3]) - max(p[1], q[1]))
+        if shared <= SLIVER:
+            return None
+        if operation == "intersection":
+            return shared, 1
+        if operation == "union":
+            return abs(k.area(a)) + abs(k.area(b)) - shared, 1
+    size, parts = k.boolean([a], [b], "intersection", SLIVER)
+    if size <= SLIVER:
+        return None
+    if operation != "intersection":
+        size, parts = k.boolean([a], [b], operation, SLIVER)
+    return size, len(parts)
+
+
 def overlaps(entities: DataFrame, cell: float = 32.0, operation: str = "intersection") -> DataFrame:
     """(a_id, b_id, area, parts) of pairs whose interiors share more than a sliver.
 
@@ -35,18 +63,50 @@ def overlaps(entities: DataFrame, cell: float = 32.0, operation: str = "intersec
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                a, b = ([(p["x"], p["y"]) for p in ring] for ring in (row.a_ring, row.b_ring))
-                if _share(a, b):
-                    size, parts = k.boolean([a], [b], operation, SLIVER)
-                    rows.append((row.a_id, row.b_id, round(size, 6), len(parts)))
+                got = _combined(*([(p["x"], p["y"]) for p in ring] for ring in (row.a_ring, row.b_ring)), operation)
+                if got:
+                    rows.append((row.a_id, row.b_id, round(got[0], 6), got[1]))
             yield pd.DataFrame(rows, columns=["a_id", "b_id", "area", "parts"])
 
     return pairs.mapInPandas(run, "a_id long, b_id long, area double, parts int").where(F.col("area") > SLIVER)
 
 
-def _share(a: list, b: list) -> bool:
-    """Whether the interiors share more than a sliver."""
-    return k.boolean([a], [b], "intersection", SLIVER)[0] > SLIVER
+def annotation_overlaps(entities: DataFrame, cell: float = 32.0) -> DataFrame:
+    """Overlaps of which neither ring holds the other."""
+    held = includes(entities, cell)
+    both = held.select(F.least("outer", "inner").alias("a_id"), F.greatest("outer", "inner").alias("b_id")).distinct()
+    return overlaps(entities, cell).join(both, ["a_id", "b_id"], "left_anti")
+
+
+def direct_includes(entities: DataFrame, cell: float = 32.0) -> DataFrame:
+    """(outer, inner) with no third ring between: of equal rings the least id holds the next."""
+    size = rings(entities).select("id", F.abs(g.signed_area(F.col("ring"))).alias("area"))
+    pairs = includes(entities, cell).join(size.withColumnsRenamed({"id": "outer", "area": "a"}), "outer")
+    pairs = pairs.join(size.withColumnsRenamed({"id": "inner", "area": "b"}), "inner")
+    ranked = pairs.where("a > b OR (a = b AND outer < inner)").select("outer", "inner")
+    through = ranked.alias("x").join(ranked.alias("y"), F.col("x.inner") == F.col("y.outer")).select("x.outer", "y.inner")
+    return ranked.join(through.distinct(), ["outer", "inner"], "left_anti")
+
+
+def net_areas(entities: DataFrame, cell: float = 32.0) -> DataFrame:
+    """(id, net_area, n_holes): area less that of the rings held directly; what those hold themselves is not taken off again."""
+    size = rings(entities).select("id", F.abs(g.signed_area(F.col("ring"))).alias("area"))
+    inner = direct_includes(entities, cell).join(size.withColumnsRenamed({"id": "inner", "area": "hole"}), "inner")
+    holes = inner.groupBy(F.col("outer").alias("id")).agg(F.sum("hole").alias("hole"), F.count(F.lit(1)).alias("n"))
+    return size.join(holes, "id", "left").select(
+        "id", F.round(F.col("area") - F.coalesce("hole", F.lit(0.0)), 6).alias("net_area"), F.coalesce("n", F.lit(0)).alias("n_holes")
+    )
+
+
+def depths(entities: DataFrame, cell: float = 32.0) -> DataFrame:
+    """(id, parent, depth): the tree of rings; the parent is the least ring by area around one, null at depth 0."""
+    size = rings(entities).select("id", F.abs(g.signed_area(F.col("ring"))).alias("area"))
+    pairs = includes(entities, cell).join(size.withColumnsRenamed({"id": "outer", "area": "a"}), "outer")
+    pairs = pairs.join(size.withColumnsRenamed({"id": "inner", "area": "b"}), "inner").where("a > b OR (a = b AND outer < inner)")
+    around = pairs.groupBy(F.col("inner").alias("id")).agg(
+        F.min_by("outer", F.struct("a", -F.col("outer"))).alias("parent"), F.count(F.lit(1)).alias("depth")
+    )
+    return size.select("id").join(around, "id", "left").select("id", "parent", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def includes(entities: DataFrame, cell: float = 32.0) -> DataFrame:
@@ -140,22 +200,19 @@ def region_contours(entities: DataFrame, cell: float = 32.0) -> DataFrame:
 
 
 def polygonized(segs: DataFrame, cell: float = 8.0) -> DataFrame:
-    """(component, area, n_vertices) of the bounded faces of all segments, component by component of what meets."""
+    """(component, area, n_vertices) of the bounded faces of all segments, by component of what meets; its least id names it.
+
+    Noding, dangling ends and faces are all joins and windows, so a road net that
+    is one component is not one task.
+    """
+    from plumbline.operators import graph
     from plumbline.operators.joins import hits, with_box
 
+    found = graph.bounded_faces(segs, cell)
     boxed = with_box(segs.select("id", "x1", "y1", "x2", "y2"))
     meet = box_join(boxed, boxed, cell, F.col("a_id") < F.col("b_id")).where(F.size(hits()) > 0)
     comp = components(segs.select("id").distinct(), meet.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    busy = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("component")
-    grouped = segs.join(comp.join(busy, "component"), "id")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _ = k.polygonize([((r.x1, r.y1), (r.x2, r.y2)) for r in pdf.itertuples()])
-        return pd.DataFrame(
-            [(key[0], round(k.face_area(f), 6), len(f[0])) for f in found], columns=["component", "area", "n_vertices"]
-        )
-
-    return grouped.groupBy("component").applyInPandas(run, "component long, area double, n_vertices int")
+    return found.join(comp, found["source"] == comp["id"]).select("component", "area", "n_vertices")
 
 
 def _per_curve(entities: DataFrame, fn, schema: str) -> DataFrame:
@@ -177,6 +234,38 @@ def min_rectangles(entities: DataFrame) -> DataFrame:
     return _per_curve(entities, lambda ps: (round(k.min_rectangle(ps)[0], 6),), "id long, rect_area double")
 
 
+def narrowest(entities: DataFrame) -> DataFrame:
+    """(id, width, length) of the narrowest rectangle around each curve."""
+    return _per_curve(entities, lambda ps: tuple(round(x, 6) for x in k.min_width_rectangle(ps)), "id long, width double, length double")
+
+
+def buffered(entities: DataFrame, distance: float, quarter: int = 4) -> DataFrame:
+    """(id, buffer_area) of all within a distance of closed rings and their inside."""
+    closed = entities.where("closed AND size(vertices) >= 3")
+    return _per_curve(closed, lambda ps: (round(k.buffer(ps, True, distance, quarter)[0], 6),), "id long, buffer_area double")
+
+
+def faults(entities: DataFrame) -> DataFrame:
+    """(id, fault) of closed curves that are no simple polygons."""
+    closed = entities.where("closed AND size(vertices) >= 1")
+    return _per_curve(closed, lambda ps: (",".join(k.ring_faults(ps)),), "id long, fault string").where("fault <> ''")
+
+
+def hull_offsets(entities: DataFrame, distance: float) -> DataFrame:
+    return _per_curve(entities, lambda ps: (round(sum(k.area(r) for r in k.hull_offset(ps, distance)), 6),), "id long, grown_area double")
+
+
+def dangling_pieces(entities: DataFrame) -> DataFrame:
+    """(id, n_dangles) of curves that, cut where they meet themselves, have ends in the open."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, k.curve_dangles([(p["x"], p["y"]) for p in v], c)) for i, c, v in zip(pdf["id"], pdf["closed"], pdf["vertices"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["id", "n_dangles"])
+
+    return entities.select("id", "closed", "vertices").mapInPandas(run, "id long, n_dangles int")
+
+
 def simplified(entities: DataFrame, tol: float) -> DataFrame:
     return _per_curve(entities, lambda ps: (len(ps), len(k.simplify(ps, tol))), "id long, n_before int, n_after int")
 
