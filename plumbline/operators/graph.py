@@ -18,6 +18,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     work = Workspace(nodes.sparkSession, "components")
     both = work.stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
     labels = work.stage(nodes.select("id", F.col("id").alias("label")).distinct(), "labels")
+    if both.isEmpty():
+        return labels.select("id", F.col("label").alias("component"))
     while True:
         around = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("m"))
         hooked = labels.join(around, labels["id"] == around["u"], "left").select("id", "label", F.least("label", "m").alias("l"))
@@ -118,9 +120,8 @@ def bounded_faces(segs: DataFrame, cell: float = 8.0) -> DataFrame:
 def in_loops(segs: DataFrame, cell: float = 8.0) -> DataFrame:
     """(id) of lines with a piece in some loop: one that has different cycles on its two sides."""
     f = faces(core(noded(segs, cell)))
-    sides = f.groupBy("edge").agg(F.min("face").alias("l"), F.max("face").alias("r"))
-    pieces = noded(segs, cell).select(F.col("id").alias("edge"), "source")
-    return sides.where("l <> r").join(pieces, "edge").select(F.col("source").alias("id")).distinct()
+    sides = f.groupBy("edge").agg(F.min("face").alias("l"), F.max("face").alias("r"), F.min("source").alias("id"))
+    return sides.where("l <> r").select("id").distinct()
 
 
 def snap_clusters(lines: DataFrame, tol: float = 2.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import arcs, units
 from plumbline.functions import geometry as g
-from plumbline.operators import checks, curves, floorplan, graph, joins, polygons
+from plumbline.operators import checks, curves, fixes, floorplan, graph, joins, polygons
 from plumbline.plans.queries import (
     _CURVE, _DUPS, _ENDS, _LAP, _REACH, _RINGS, ORACLES, _curves, _parcels, _segs, _with_copies, query,
 )
@@ -607,3 +607,83 @@ def unit_convert_all(spark, d):
 def unit_expression_terms(spark, d):
     text = F.concat("p_name", F.lit("+2*"), F.col("p_size").cast("string"))
     return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.size(units.terms(text)).alias("n_terms"))
+
+
+# --- fixes -----------------------------------------------------------------------------------------------
+
+
+def _fixed(check, fix):
+    """What a check's own fix makes of all curves."""
+    return lambda spark, d: fix(own := _curves(spark, d), check(own))
+
+
+query("fix_elevation", "SELECT id, 0.0::DOUBLE AS elevation FROM v_curves", ("v_curves",))(
+    lambda spark, d: _fixed(checks.elevated, checks.flatten)(spark, d).select("id", "elevation")
+)
+query("fix_unclosed", "SELECT id, true AS closed FROM v_curves", ("v_curves",))(
+    lambda spark, d: _fixed(checks.unclosed, checks.close)(spark, d).select("id", "closed")
+)
+query("fix_arc_segment", "SELECT id, round(shoelace, 6) + 0.0 AS area FROM curve", _CURVE, _RINGS)(
+    lambda spark, d: _fixed(checks.arc_segment, checks.straighten)(spark, d).select("id", (F.round(g.bulge_area(F.col("vertices")), 6) + 0.0).alias("area"))
+)
+query("fix_zero_area", "SELECT id FROM curve WHERE NOT ((closed OR joined) AND abs(area) <= 1e-5)", _CURVE, _RINGS)(
+    lambda spark, d: _fixed(checks.zero_area, checks.erase)(spark, d).select("id")
+)
+query("fix_small_polygon", "SELECT id FROM curve WHERE NOT (closed AND abs(area) < 2.0 AND abs(abs(area) - 2.0) > 1e-6)", _CURVE, _RINGS)(
+    lambda spark, d: _fixed(lambda own: checks.small_polygon(own, 2.0), checks.erase)(spark, d).select("id")
+)
+query("fix_zero_length", "SELECT id FROM v_segments WHERE x1 <> x2 OR y1 <> y2", ("v_segments",))(
+    lambda spark, d: checks.erase(own := views.lines_as_entities(view(spark, d, "v_segments")), checks.zero_length(own)).select("id")
+)
+query(
+    "fix_duplicate_vertices",
+    """SELECT k.id, (count(*) - CASE WHEN count(*) > 2 AND min_by(x, pos) = max_by(x, pos) AND min_by(y, pos) = max_by(y, pos) THEN 1 ELSE 0 END)::INT AS n_vertices FROM (
+         SELECT *, lag(x) OVER w AS px0, lag(y) OVER w AS py0 FROM v_vertices WINDOW w AS (PARTITION BY id ORDER BY pos)) k
+       WHERE px0 IS NULL OR x <> px0 OR y <> py0 GROUP BY k.id""",
+    _CURVE,
+)(lambda spark, d: _fixed(checks.duplicate_vertex, checks.drop_duplicate_vertices)(spark, d).select("id", F.size("vertices").alias("n_vertices")))
+
+
+@query("fix_break_crossings", ORACLES["split_at_points"].replace("SELECT * FROM (", "SELECT id, count(*) AS n_pieces FROM (", 1) + " GROUP BY id")
+def fix_break_crossings(spark, d):
+    """Pieces per line once no crossing is left."""
+    return fixes.break_until_clean(_segs(spark, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n_pieces"))
+
+
+@query("fix_undershoots")
+def fix_undershoots(spark, d):
+    return fixes.extend_undershoots(_segs(spark, d))
+
+
+@query(
+    "fix_apparent_intersections",
+    ORACLES["apparent_intersections"].replace("SELECT a_id, a_end, b_id, b_end, round(", "SELECT id, \"end\", x, y FROM (SELECT *, row_number() OVER (PARTITION BY id, \"end\" ORDER BY round(pow(x - px, 2) + pow(y - py, 2), 6), other) AS r FROM (SELECT unnest([a_id, b_id]) AS id, unnest([a_end, b_end]) AS \"end\", unnest([b_id, a_id]) AS other, unnest([ax, bx]) AS px, unnest([ay, by_]) AS py, round(", 1)
+    + ")) WHERE r = 1",
+)
+def fix_apparent_intersections(spark, d):
+    """Ends that were moved, read back from the moved lines."""
+    segs = _segs(spark, d)
+    found = graph.apparent_intersections(segs, 2.0)
+    ends = found.select(F.col("a_id").alias("id"), F.col("a_end").alias("end")).union(found.select("b_id", "b_end")).distinct()
+    return graph.ends(fixes.meet_apparent(segs, 2.0), 5e-5).join(ends, ["id", "end"], "left_semi").select("id", "end", "x", "y")
+
+
+@query(
+    "fix_missing_vertices",
+    f"SELECT p.id, (4 + count(m.x))::INT AS n_vertices FROM v_parcels p LEFT JOIN ({ORACLES['missing_vertices'][ORACLES['missing_vertices'].index('SELECT DISTINCT id, x, y'):]}) m ON m.id = p.id GROUP BY p.id",
+    ("v_parcels",),
+    ORACLES["missing_vertices"][ORACLES["missing_vertices"].index("corner AS (") : ORACLES["missing_vertices"].index("SELECT DISTINCT id, x, y")].rstrip().rstrip(","),
+)
+def fix_missing_vertices(spark, d):
+    own = _parcels(spark, d)
+    return fixes.insert_vertices(own, checks.missing_vertices(own, 16.0)).select("id", F.size("vertices").alias("n_vertices"))
+
+
+@query(
+    "fix_point_deviation",
+    f"SELECT p.id, coalesce(a.x, p.x) AS x, coalesce(a.y, p.y) AS y FROM v_points p LEFT JOIN ({ORACLES['vertex_clusters'][ORACLES['vertex_clusters'].index('SELECT id, least(min(other), id) AS anchor'):]}) c ON c.id = p.id LEFT JOIN v_points a ON a.id = c.anchor",
+    ("v_points",),
+    ORACLES["vertex_clusters"][ORACLES["vertex_clusters"].index("close AS MATERIALIZED") : ORACLES["vertex_clusters"].index("SELECT id, least(min(other), id) AS anchor")].rstrip().rstrip(","),
+)
+def fix_point_deviation(spark, d):
+    return fixes.move_to_anchors(view(spark, d, "v_points").select("id", "x", "y"), 2.0)

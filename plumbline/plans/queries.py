@@ -52,9 +52,8 @@ def scan_visible_layers(spark, d):
     ("v_segments", "v_layers"),
 )
 def scan_by_layer_names(spark, d):
-    names = ",".join(r[0] for r in spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey IN (1, 2, 3, 8)").select("n_name").collect())
-    wanted = F.col("layer").isin(names.split(",")) if names not in ("", "*") else F.lit(True)
-    seen = view(spark, d, "v_layers").where("NOT is_off AND NOT is_frozen").where(wanted).select("layer_id", "layer")
+    names = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey IN (1, 2, 3, 8)").select(F.col("n_name").alias("layer"))
+    seen = view(spark, d, "v_layers").where("NOT is_off AND NOT is_frozen").join(names, "layer", "left_semi").select("layer_id", "layer")
     return view(spark, d, "v_segments").select("id", "layer_id").join(seen, "layer_id").select("id", "layer")
 
 
@@ -385,7 +384,19 @@ def apparent_intersections(spark, d):
     return graph.apparent_intersections(_segs(spark, d), 2.0)
 
 
-@query("dangling_chains")
+@query(
+    "dangling_chains",
+    """SELECT p.id, p.chain, round(sum(q.len), 6) AS chain_length FROM chained p JOIN chained q USING (chain) GROUP BY p.id, p.chain HAVING round(sum(q.len), 6) <= 50""",
+    ("v_segments",),
+    """line AS MATERIALIZED (SELECT id, x1, y1, x2, y2, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS len FROM v_segments WHERE x1 <> x2 OR y1 <> y2),
+tip AS MATERIALIZED (SELECT id, x1 AS x, y1 AS y FROM line UNION ALL SELECT id, x2, y2 FROM line),
+gone(id, step) USING KEY (id) AS (SELECT DISTINCT t.id, 0 FROM tip t WHERE (SELECT count(*) FROM tip u WHERE u.x = t.x AND u.y = t.y) = 1 UNION
+  (SELECT DISTINCT t.id, g.step + 1 FROM tip t JOIN tip v ON v.x = t.x AND v.y = t.y AND v.id <> t.id JOIN gone g ON g.id = v.id
+   WHERE t.id NOT IN (SELECT id FROM recurring.gone) AND (SELECT count(*) FROM tip u WHERE u.x = t.x AND u.y = t.y AND u.id NOT IN (SELECT id FROM recurring.gone)) = 1)),
+met AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM tip a JOIN tip b ON a.x = b.x AND a.y = b.y AND a.id <> b.id WHERE a.id IN (SELECT id FROM gone) AND b.id IN (SELECT id FROM gone)),
+part(id, chain) USING KEY (id) AS (SELECT id, id FROM gone UNION (SELECT m.b, min(p.chain) FROM part p JOIN met m ON m.a = p.id JOIN recurring.part o ON o.id = m.b WHERE p.chain < o.chain GROUP BY m.b)),
+chained AS (SELECT p.id, p.chain, l.len FROM part p JOIN line l USING (id))""",
+)
 def dangling_chains(spark, d):
     return graph.dangling_chains(_segs(spark, d), 50.0)
 
@@ -471,20 +482,20 @@ def polygon_gap(spark, d):
     return polygons.gaps(_parcels(spark, d), 0.25)
 
 
+_DIRECT = _LAP + """, held AS (SELECT a_id, b_id, area_b FROM laps WHERE holds AND (area_a > area_b OR (area_a = area_b AND a_id < b_id))),
+direct AS (SELECT * FROM held h WHERE NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.b_id = y.a_id WHERE x.a_id = h.a_id AND y.b_id = h.b_id))"""
+
+
 @query(
     "net_area_with_holes",
-    """SELECT o.id, round(any_value((o.maxx - o.minx) * (o.maxy - o.miny)) - coalesce(sum((i.maxx - i.minx) * (i.maxy - i.miny)), 0), 6) AS net_area, count(i.id) AS n_holes
-       FROM v_parcels o LEFT JOIN v_parcels i ON o.id <> i.id AND o.minx <= i.minx AND o.miny <= i.miny AND o.maxx >= i.maxx AND o.maxy >= i.maxy GROUP BY o.id""",
+    """SELECT o.id, round(any_value((o.maxx - o.minx) * (o.maxy - o.miny)) - coalesce(sum(i.area_b), 0), 6) AS net_area, count(i.b_id) AS n_holes
+       FROM v_parcels o LEFT JOIN direct i ON i.a_id = o.id GROUP BY o.id""",
     ("v_parcels",),
+    _DIRECT,
 )
 def net_area_with_holes(spark, d):
-    e = _parcels(spark, d)
-    size = e.select("id", F.abs(g.signed_area(F.col("vertices"))).alias("area"))
-    inner = polygons.includes(e).join(size.withColumnsRenamed({"id": "inner", "area": "hole"}), "inner")
-    holes = inner.groupBy(F.col("outer").alias("id")).agg(F.sum("hole").alias("hole"), F.count(F.lit(1)).alias("n"))
-    return size.join(holes, "id", "left").select(
-        "id", F.round(F.col("area") - F.coalesce("hole", F.lit(0.0)), 6).alias("net_area"), F.coalesce("n", F.lit(0)).alias("n_holes")
-    )
+    """Area less the rings held directly; what these hold in turn is theirs."""
+    return polygons.net_areas(_parcels(spark, d))
 
 
 @query(
@@ -516,12 +527,28 @@ def missing_vertices(spark, d):
     return checks.missing_vertices(_parcels(spark, d), 16.0)
 
 
-@query("crotch_points")
+@query(
+    "crotch_points",
+    """SELECT DISTINCT a.id, b.id AS other, a.x, a.y FROM turn a JOIN (SELECT DISTINCT id, x, y FROM turn) b ON a.x = b.x AND a.y = b.y AND a.id <> b.id
+       WHERE NOT EXISTS (SELECT 1 FROM turn c WHERE c.id = b.id AND c.x = a.px AND c.y = a.py) OR NOT EXISTS (SELECT 1 FROM turn c WHERE c.id = b.id AND c.x = a.nx AND c.y = a.ny)""",
+    (*_CURVE, "v_parcels"),
+    _DUPS
+    + """, corners AS (SELECT p.id, p.pos, p.x, p.y FROM copies p JOIN v_curves c ON c.id = p.id % 1000000 WHERE closed
+  UNION ALL SELECT id + 5000000, k, CASE WHEN k IN (0, 3) THEN minx ELSE maxx END, CASE WHEN k < 2 THEN miny ELSE maxy END FROM v_parcels CROSS JOIN range(4) r(k)),
+turn AS (SELECT *, coalesce(lag(x) OVER w, last_value(x) OVER f) AS px, coalesce(lag(y) OVER w, last_value(y) OVER f) AS py, coalesce(lead(x) OVER w, first_value(x) OVER f) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER f) AS ny
+  FROM corners WINDOW w AS (PARTITION BY id ORDER BY pos), f AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
+)
 def crotch_points(spark, d):
     return checks.crotch_points(_with_copies(spark, d).unionByName(_parcels(spark, d).withColumn("id", F.col("id") + 5000000)))
 
 
-@query("connected_regions")
+_REGIONS = """near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v_parcels a JOIN v_parcels b ON a.id <> b.id AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy
+  AND (least(a.maxx, b.maxx) > greatest(a.minx, b.minx) OR least(a.maxy, b.maxy) > greatest(a.miny, b.miny))),
+region(id, component) USING KEY (id) AS (SELECT id, id FROM v_parcels UNION
+  (SELECT near.b, min(r.component) FROM region r JOIN near ON r.id = near.a JOIN recurring.region o ON o.id = near.b WHERE r.component < o.component GROUP BY near.b))"""
+
+
+@query("connected_regions", "SELECT id, component FROM region", ("v_parcels",), _REGIONS)
 def connected_regions(spark, d):
     return polygons.regions(_parcels(spark, d))
 
@@ -536,17 +563,46 @@ def polygonize(spark, d):
     return polygons.polygonized(_segs(spark, d))
 
 
-@query("convex_hull")
+_HULL = """spot AS (SELECT DISTINCT id, x, y FROM v_vertices),
+side AS (SELECT p.id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM spot p JOIN spot q ON p.id = q.id AND (p.x <> q.x OR p.y <> q.y)
+  WHERE NOT EXISTS (SELECT 1 FROM spot r WHERE r.id = p.id AND ((q.x-p.x)*(r.y-p.y) - (r.x-p.x)*(q.y-p.y) < 0
+    OR ((q.x-p.x)*(r.y-p.y) - (r.x-p.x)*(q.y-p.y) = 0 AND ((r.x-p.x)*(q.x-p.x) + (r.y-p.y)*(q.y-p.y) < 0 OR (r.x-q.x)*(p.x-q.x) + (r.y-q.y)*(p.y-q.y) < 0))))),
+hull AS (SELECT id, count(*) AS n, sum(ax * by_ - bx * ay) / 2 AS area FROM side GROUP BY id)"""
+
+
+@query(
+    "convex_hull",
+    "SELECT s.id, coalesce(any_value(h.n), 1)::INT AS n_hull, round(abs(coalesce(any_value(h.area), 0)), 6) AS hull_area FROM spot s LEFT JOIN hull h USING (id) GROUP BY s.id",
+    _CURVE,
+    _HULL,
+)
 def convex_hull(spark, d):
     return polygons.hulls(_curves(spark, d))
 
 
-@query("min_rectangle")
+@query(
+    "min_rectangle",
+    """SELECT id, round(coalesce(min(rect), 0), 6) AS rect_area FROM (SELECT DISTINCT id FROM spot) LEFT JOIN (
+         SELECT s.id, s.ax, s.ay, s.bx, (max((p.x-ax)*(bx-ax) + (p.y-ay)*(by_-ay)) - min((p.x-ax)*(bx-ax) + (p.y-ay)*(by_-ay)))
+             * (max((p.y-ay)*(bx-ax) - (p.x-ax)*(by_-ay)) - min((p.y-ay)*(bx-ax) - (p.x-ax)*(by_-ay))) / ((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay)) AS rect
+         FROM side s JOIN hull h ON h.id = s.id AND h.n >= 3 JOIN spot p ON p.id = s.id GROUP BY s.id, ax, ay, bx, by_) USING (id) GROUP BY id""",
+    _CURVE,
+    _HULL,
+)
 def min_rectangle(spark, d):
     return polygons.min_rectangles(_curves(spark, d))
 
 
-@query("simplify")
+@query(
+    "simplify",
+    """SELECT c.id, c.n AS n_before, (SELECT count(DISTINCT k) FROM (SELECT i AS k FROM chord s WHERE s.id = c.id UNION ALL SELECT j FROM chord s WHERE s.id = c.id))::INT AS n_after FROM v_curves c""",
+    _CURVE,
+    """away AS MATERIALIZED (SELECT a.id, a.pos AS i, b.pos AS j, p.pos AS k, CASE WHEN a.x = b.x AND a.y = b.y THEN sqrt(pow(p.x-a.x, 2) + pow(p.y-a.y, 2))
+    ELSE abs((b.x-a.x)*(p.y-a.y) - (p.x-a.x)*(b.y-a.y)) / sqrt(pow(b.x-a.x, 2) + pow(b.y-a.y, 2)) END AS d
+  FROM v_vertices a JOIN v_vertices b ON a.id = b.id AND a.pos < b.pos JOIN v_vertices p ON p.id = a.id AND p.pos > a.pos AND p.pos < b.pos),
+furthest AS MATERIALIZED (SELECT id, i, j, k FROM (SELECT *, row_number() OVER (PARTITION BY id, i, j ORDER BY d DESC, k) AS r FROM away) WHERE r = 1 AND d > 1.0),
+chord(id, i, j) AS (SELECT id, 0, n - 1 FROM v_curves UNION ALL SELECT f.id, unnest([f.i, f.k]), unnest([f.k, f.j]) FROM chord c JOIN furthest f ON f.id = c.id AND f.i = c.i AND f.j = c.j)""",
+)
 def simplify(spark, d):
     return polygons.simplified(_curves(spark, d), 1.0)
 
@@ -584,30 +640,46 @@ def split_at_points(spark, d):
     return out.select("id", "piece", *[F.round(k, 6).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
-@query("extend_undershoots")
+@query(
+    "extend_undershoots",
+    f"""SELECT s.id, coalesce(a.x, s.x1) AS x1, coalesce(a.y, s.y1) AS y1, coalesce(b.x, s.x2) AS x2, coalesce(b.y, s.y2) AS y2 FROM v_segments s
+       LEFT JOIN ({ORACLES["undershoots"][ORACLES["undershoots"].index('SELECT id, "end", target'):]}) a ON a.id = s.id AND a."end" = 0
+       LEFT JOIN ({ORACLES["undershoots"][ORACLES["undershoots"].index('SELECT id, "end", target'):]}) b ON b.id = s.id AND b."end" = 1""",
+    ("v_segments",),
+    _ENDS,
+)
 def extend_undershoots(spark, d):
     segs = _segs(spark, d)
     return checks.extend_lines(segs, graph.undershoots(segs, 2.0))
 
 
-@query(
-    "trim_by_extents",
-    "SELECT id, x1, y1, x2, y2 FROM v_segments WHERE least(x1, x2) >= 500 AND greatest(x1, x2) <= 1500 AND least(y1, y2) >= 500 AND greatest(y1, y2) <= 1500 AND (x1 <> x2 OR y1 <> y2)",
-    ("v_segments",),
-)
-def trim_by_extents(spark, d):
-    """Parts inside a box, of the segments that lie in it wholly (the oracle has no clipping)."""
-    box = (500.0, 500.0, 1500.0, 1500.0)
-    segs = _segs(spark, d)
-    inside = checks.trim_lines(segs.where("x1 <> x2 OR y1 <> y2"), box)
-    whole = segs.where(F.least("x1", "x2").between(500, 1500) & F.greatest("x1", "x2").between(500, 1500) & F.least("y1", "y2").between(500, 1500) & F.greatest("y1", "y2").between(500, 1500))
-    return inside.join(whole.select("id"), "id", "left_semi")
+_CLIP = """slab AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM v_segments WHERE x1 <> x2 OR y1 <> y2),
+lim AS (SELECT *, CASE WHEN dx <> 0 THEN least((500 - x1) / dx, (1500 - x1) / dx) WHEN x1 BETWEEN 500 AND 1500 THEN 0 ELSE 2 END AS ax,
+  CASE WHEN dx <> 0 THEN greatest((500 - x1) / dx, (1500 - x1) / dx) WHEN x1 BETWEEN 500 AND 1500 THEN 1 ELSE -1 END AS bx,
+  CASE WHEN dy <> 0 THEN least((500 - y1) / dy, (1500 - y1) / dy) WHEN y1 BETWEEN 500 AND 1500 THEN 0 ELSE 2 END AS ay,
+  CASE WHEN dy <> 0 THEN greatest((500 - y1) / dy, (1500 - y1) / dy) WHEN y1 BETWEEN 500 AND 1500 THEN 1 ELSE -1 END AS by_ FROM slab),
+span AS (SELECT *, greatest(ax, ay, 0) AS t0, least(bx, by_, 1) AS t1 FROM lim)"""
+_PART = "SELECT id, round(x1 + {0} * dx, 6) AS x1, round(y1 + {0} * dy, 6) AS y1, round(x1 + {1} * dx, 6) AS x2, round(y1 + {1} * dy, 6) AS y2 FROM span WHERE {2}"
 
 
-@query("trim_parts_by_extents")
+def _trimmed(spark, d, inside):
+    return checks.trim_lines(_segs(spark, d).where("x1 <> x2 OR y1 <> y2"), (500.0, 500.0, 1500.0, 1500.0), inside)
+
+
+@query("trim_parts_by_extents", _PART.format("t0", "t1", "t0 < t1"), ("v_segments",), _CLIP)
 def trim_parts_by_extents(spark, d):
-    """Parts inside the same box of all segments; those that cross the border are cut at it (tested against brute force)."""
-    return checks.trim_lines(_segs(spark, d).where("x1 <> x2 OR y1 <> y2"), (500.0, 500.0, 1500.0, 1500.0))
+    """Parts inside a box of all segments; those that cross the border are cut at it."""
+    return _trimmed(spark, d, True)
+
+
+@query(
+    "trim_parts_outside_extents",
+    " UNION ALL ".join([_PART.format("0", "1", "t0 >= t1"), _PART.format("0", "t0", "t0 < t1 AND t0 > 0"), _PART.format("t1", "1", "t0 < t1 AND t1 < 1")]),
+    ("v_segments",),
+    _CLIP,
+)
+def trim_parts_outside_extents(spark, d):
+    return _trimmed(spark, d, False)
 
 
 @query(
@@ -663,7 +735,15 @@ def window_groups(spark, d):
     return floorplan.window_groups(views.segments(_parcels(spark, d)))
 
 
-@query("wall_candidates")
+@query(
+    "wall_candidates",
+    """SELECT id, inner_id, dist, overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, inner_id) AS r FROM (
+         SELECT a.sid AS id, b.sid AS inner_id, abs(a.off - b.off) AS dist, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS overlap
+         FROM side a JOIN side b ON a.sid <> b.sid AND a.vert = b.vert AND a.off <> b.off AND abs(a.off - b.off) < 2 AND least(a.hi, b.hi) > greatest(a.lo, b.lo))) WHERE r = 1""",
+    ("v_parcels",),
+    """side AS (SELECT id * 8 + 3 AS sid, true AS vert, minx AS off, miny AS lo, maxy AS hi FROM v_parcels UNION ALL SELECT id * 8 + 1, true, maxx, miny, maxy FROM v_parcels
+  UNION ALL SELECT id * 8, false, miny, minx, maxx FROM v_parcels UNION ALL SELECT id * 8 + 2, false, maxy, minx, maxx FROM v_parcels)""",
+)
 def wall_candidates(spark, d):
     segs = views.segments(_parcels(spark, d)).withColumn("id", F.col("id") * 8 + F.col("seg"))
     return floorplan.nearest_walls(floorplan.wall_candidates(segs, segs, 2.0))
