@@ -281,6 +281,7 @@ class Action:
     after: tuple[str, ...] = field(default_factory=tuple)
 
 
+# The names under which users know the actions.
 ACTIONS = (
     Action("NoneZeroElevation", elevated, flatten),
     Action("ArcSegment", arc_segment, straighten),
