@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, graph, joins, polygons
+from plumbline.operators import checks, floorplan, graph, joins, polygons
 from plumbline.plans import more
 from plumbline.sources.staging import Workspace
 from test_geometry import entity, lines, square, table
@@ -77,3 +77,15 @@ def test_a_pair_of_shapes_is_looked_at_once(spark):
     held, members = polygons.shapes(polygons.rings(table(spark, *[entity(i, square(i % 2, 0, 2), True) for i in range(60)])), Workspace(spark, "t"))
     assert [(r.id, r.n) for r in held.orderBy("id").collect()] == [(0, 30), (1, 30)] and members.count() == 60
     assert polygons._overlapping(held, 32.0, "intersection").count() == 3
+
+
+def test_walls_of_copies_and_boxes_with_points(spark):
+    rows = [(0, y, 10, y) for y in (0, 0, 1, 1, 3)] + [(2, 0.5, 4, 0.5)]
+    segs = lines(spark, *rows)
+    plain = sorted(tuple(r) for r in floorplan.nearest_walls(floorplan.wall_candidates(segs, segs, 2.5)).select("id", "inner_id", "dist", "overlap").collect())
+    assert sorted(tuple(r) for r in floorplan.walls(segs, segs, 2.5).collect()) == plain and len(plain) == 6
+    boxes = spark.createDataFrame([(i, 0.0, 0.0, 2.0, 2.0) for i in range(20)] + [(20, 1.0, 1.0, 5.0, 5.0)], "id long, minx double, miny double, maxx double, maxy double")
+    dots = boxes.selectExpr("id", "id / 10 AS minx", "id / 10 AS miny", "id / 10 AS maxx", "id / 10 AS maxy")
+    expect = sorted((i, j) for i in range(21) for j in range(21) if (j <= 20 if i < 20 else j >= 10))
+    found = joins.spread_boxes(boxes, dots, 4.0)
+    assert sorted(tuple(r) for r in found.collect()) == expect
