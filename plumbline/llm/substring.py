@@ -12,22 +12,24 @@ Windows of one minimum are linked to one representative each, first within a
 batch of documents, then across batches, so a passage in a third of all
 documents costs a row per document, never a pair per pair.
 
-A representative may lack the passage, since a minimum of stock lines occurs in
-many documents.  So documents that have windows of two hash functions in common,
-which a run of LEAST shingles could share, and are in different classes still are
-looked at again there, shingle by shingle.  Of a run of LEAST shingles SHARED
-must occur in the partner, so a run can be shared only if at most LEAST - SHARED
-of its shingles occur nowhere else among these documents, and one of its
-LEAST - SHARED + 1 rarest must be the partner's too.  Runs that pass meet on
-those rare shingles: first one of each class with one of the largest, in turns,
-then all that are still in different classes.  A line that thousands have brings
-none of them together, for it is never a run's rarest part; no link between
-classes is lost.
+A representative may lack the passage, and two documents may share one without
+minima in common.  So all documents are looked at once more, by anchors: shingles
+whose least word hash is that of their first or last word.  Any GAP shingles in a
+row hold one, and whether a shingle is one depends on it alone, so both sides of
+a passage choose the same.  A passage is a run of LEAST shingles on either side,
+SHARED of which occur in the other run.  A run that holds more than
+LEAST - SHARED anchors of no other document is none, and of the others the
+LEAST - SHARED + 1 rarest places (its leads; fewer by those anchors that only it
+has) hold the rarest anchor that both runs have.  Runs meet on equal leads: first
+one of each class with one of the largest, in turns, then all that are still in
+different classes.  A line that thousands have brings none of them together, for
+it is never a run's rarest part; no link between classes is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,126 +49,180 @@ ENOUGH = 2
 SHARED = -(-6 * LEAST // 7)
 #: Of so many shingles of a shared run one at least is shared.
 RARE = LEAST - SHARED + 1
+#: Of so many shingles in a row one at least is an anchor.
+GAP = SHINGLE - 1
 #: Rounds that compare single members of classes before all that is left is compared.
 TURNS = 2
 _CHUNK = 200_000
+_FLUSH = 500_000
+#: Windows of a text looked at together.
+_ROWS = 20_000
+#: Documents whose windows are linked before they are dealt.
+DOCS = 2_000
 _rng = np.random.default_rng(0xC0FFEE)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
-WINDOW = [("doc", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32())]
 
 
-def compact_windows(values: np.ndarray, least: int = LEAST, ties: bool = True) -> list[tuple[int, int, int]]:
+def compact_windows(values: np.ndarray, least: int = LEAST, ties: bool | np.ndarray = True) -> list[tuple[int, int, int]]:
     """(l, c, r) of the Cartesian tree's nodes whose range has at least ``least`` entries.
 
     Of equal minima the middle one is the node, else the tree of a periodic text
-    is a path.  ``ties`` says that values may repeat.
+    is a path.  ``ties`` says that values may repeat, or which ones do.
     """
+    ties = np.full(len(values), ties) if isinstance(ties, bool) else ties
     out, stack = [], [(0, len(values))]
     while stack:
         lo, hi = stack.pop()
         if hi - lo < least:
             continue
         part = values[lo:hi]
-        if ties:
-            spots = np.flatnonzero(part == part.min())
+        c = lo + int(part.argmin())
+        if ties[c]:
+            spots = np.flatnonzero(part == values[c])
             c = lo + int(spots[len(spots) // 2])
-        else:
-            c = lo + int(part.argmin())
         out.append((lo, c, hi - 1))
         stack += [(lo, c), (c + 1, hi)]
     return out
 
 
-def _star(key: np.ndarray, doc: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+def _star(key: np.ndarray) -> np.ndarray:
     """For rows sorted by key: the row number of the first of each key."""
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """Windows of (id, text as binary); within a batch all but the first of a key carry that one as ``rep``."""
+def packed(cols: list[np.ndarray]) -> bytes:
+    """Columns of longs: their number, then of each the least value and the bytes of what exceeds it, plane by plane."""
+    parts = [struct.pack("<q", len(cols[0]))]
+    for col in cols:
+        low = col.min()
+        rest = (col - low).view(np.uint64)
+        width = (int(rest.max()).bit_length() + 7) // 8
+        parts += [struct.pack("<qB", low, width), rest.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(parts)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    (n,), at, out = struct.unpack_from("<q", blob), 8, []
+    while at < len(blob):
+        low, width = struct.unpack_from("<qB", blob, at)
+        rest = np.zeros((n, 8), np.uint8)
+        rest[:, :width] = np.frombuffer(blob, np.uint8, n * width, at + 9).reshape(width, n).T
+        out.append(rest.view(np.int64).ravel() + low)
+        at += 9 + n * width
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+PACKED = "bucket int, rows binary"
+
+
+def _dealt(parts: Iterator[tuple[np.ndarray, list[np.ndarray]]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (64-bit places, columns of longs), packed by the upper ``bits`` of their place."""
+
+    def flush(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.RecordBatch:
+        place = np.concatenate([p for p, _ in held])
+        order = np.argsort(place)
+        bucket = (place[order] >> np.uint64(64 - bits)).astype(np.int32)
+        cols = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
+        ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
+        blobs = [packed([c[x:y] for c in cols]) for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+    kinds: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]] = {}
+    for place, cols in parts:
+        if len(place):
+            held = kinds.setdefault(len(cols), [])
+            held.append((place, cols))
+            if sum(len(p) for p, _ in held) >= _FLUSH:
+                yield flush(kinds.pop(len(cols)))
+    for held in kinds.values():
+        yield flush(held)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket of packed rows that are sorted by bucket; rows with more columns apart from those with fewer."""
+
+    def whole(held: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        for kind in {len(cols) for cols in held}:
+            yield [np.concatenate(c) for c in zip(*(cols for cols in held if len(cols) == kind), strict=True)]
+
+    held, now = [], None
+    for batch in batches:
+        for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and bucket != now:
+                yield from whole(held)
+                held = []
+            now = bucket
+            held.append(unpacked(rows.as_buffer()))
+    if held:
+        yield from whole(held)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _windows(texts: DataFrame, bits: int) -> DataFrame:
+    """Packed windows (key, doc, l, r) of (id, text as binary).
+
+    Among DOCS documents all but the first of a key carry that one's (doc, l, r)
+    too, and are dealt by document: a key that many have is not one bucket's.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        for batch in (b.slice(k, DOCS) for b in batches for k in range(0, b.num_rows, DOCS)):
             keys, docs, spans = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_sequence(word_hashes(text.as_py() or b""))
                 if len(s) < LEAST:
                     continue
-                ties = len(np.unique(s)) < len(s)
+                _, place, times = np.unique(s, return_inverse=True, return_counts=True)
+                ties = times[place] > 1 if len(times) < len(s) else False
                 for j in range(HASHES):
                     values = s * _MUL[j] + _ADD[j]
-                    found = np.array(compact_windows(values, ties=ties), np.int32)
-                    keys.append((mix(values[found[:, 1]]) & ~np.uint64(7)) | np.uint64(j))
-                    spans.append(found)
-                    docs.append(np.full(len(found), doc, np.int64))
+                    spans.append(np.array(compact_windows(values, ties=ties)))
+                    keys.append((mix(values[spans[-1][:, 1]]) & ~np.uint64(7)) | np.uint64(j))
+                    docs.append(np.full(len(spans[-1]), doc, np.int64))
             if not keys:
                 continue
-            key, doc, span = np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(spans)
+            key, doc, span = np.concatenate(keys), np.concatenate(docs), np.concatenate(spans)
             order = np.lexsort((span[:, 0], doc, key))
-            key, doc, span = key[order], doc[order], span[order]
-            head = _star(key, doc)
-            linked = head != np.arange(len(key))
-            for at in range(0, len(key), _CHUNK):
-                rows = np.arange(at, min(at + _CHUNK, len(key)))
-                rep = head[rows]
-                cols = [pa.array(key[rows]), *_window_columns(doc, span, rows)]
-                cols.append(
-                    pa.StructArray.from_arrays(
-                        _window_columns(doc, span, rep), names=[n for n, _ in WINDOW], mask=pa.array(~linked[rows])
-                    )
-                )
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "l", "c", "r", "rep"])
-
-    return texts.mapInArrow(run, "key long, doc long, l int, c int, r int, rep struct<doc:long,l:int,c:int,r:int>")
-
+            key, own = key[order], [doc[order], span[order, 0], span[order, 2]]
+            head = _star(key)
+            first = head == np.arange(len(key))
+            yield key[first], [key[first].view(np.int64), *(c[first] for c in own)]
+            rest = np.flatnonzero(~first)
+            place = mix(own[0][rest].view(np.uint64) + own[1][rest].view(np.uint64))
+            yield place, [key[rest].view(np.int64), *(c[rest] for c in own), *(c[head[rest]] for c in own)]
 
-def _window_columns(doc: np.ndarray, span: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
-    return [pa.array(doc[rows]), *(pa.array(span[rows, k]) for k in range(3))]
+    return texts.mapInArrow(lambda batches: _dealt(found(batches), bits), PACKED)
 
 
-EDGE = "key long, doc long, l int, c int, r int, rdoc long, rl int, rc int, rr int"
-_NAMES = ["key", "doc", "l", "c", "r", "rdoc", "rl", "rc", "rr"]
+EDGE = [("doc", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("rdoc", pa.int64()), ("rl", pa.int32()), ("rr", pa.int32()), ("hash", pa.int32())]
 
 
 def _edges(windows: DataFrame) -> DataFrame:
-    """Each window beside the representative of its key, where that is another window."""
-    ready = F.col("rep").isNotNull()
-    dealt = windows.withColumn("place", F.when(ready, F.xxhash64("doc", "l")).otherwise(F.col("key")))
-    sorted_ = dealt.repartition("place").drop("place").sortWithinPartitions(ready, "key", "doc", "l")
+    """Each window beside the representative of its key, where that is another document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list | None = None  # key and window of the group that the last batch ended in
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(1, 5)])
-            rep = batch.column(5)
-            known = rep.is_valid().to_numpy(zero_copy_only=False)
-            head = _star(key, own[0])
-            other = own[:, head]
-            if carried is not None and len(key) and key[0] == carried[0] and not known[0]:
-                other[:, (key == key[0]) & ~known] = np.array(carried[1])[:, None]
-            if known.any():
-                given = np.stack(
-                    [rep.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
-                )
-                other[:, known] = given[:, known]
-            if not known[-1]:
-                carried = [key[-1], other[:, -1].tolist()]
-            rows = (own != other).any(axis=0)
+        for cols in _buckets(batches):
+            key, own = cols[0], cols[1:4]
+            if len(cols) > 4:
+                other = cols[4:]
+            else:
+                order = np.lexsort((own[1], own[0], key))
+                key, own = key[order], [c[order] for c in own]
+                head = _star(key)
+                other = [c[head] for c in own]
+            rows = own[0] != other[0]
             if rows.any():
-                cols = [key[rows], *own[:, rows], *other[:, rows]]
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 3]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c).cast(t) for c, t in zip(cols, kinds, strict=True)], names=_NAMES
-                )
+                out = [c[rows] for c in (*own, *other, key & 7)]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, (_, t) in zip(out, EDGE, strict=True)], names=[n for n, _ in EDGE])
 
-    return sorted_.mapInArrow(run, EDGE)
+    return _gathered(windows).mapInArrow(run, "doc long, l int, r int, rdoc long, rl int, rr int, hash int")
 
 
 def covered(spans: list[tuple[int, int, int]], enough: int = ENOUGH, least: int = LEAST) -> list[tuple[int, int]]:
@@ -193,12 +249,6 @@ def covered(spans: list[tuple[int, int, int]], enough: int = ENOUGH, least: int
     return out
 
 
-def _members(edges: DataFrame) -> DataFrame:
-    """(key, doc, l, c, r): the windows of keys that several windows have."""
-    heads = edges.select("key", F.col("rdoc").alias("doc"), F.col("rl").alias("l"), F.col("rc").alias("c"), F.col("rr").alias("r"))
-    return edges.select("key", "doc", "l", "c", "r").union(heads.distinct())
-
-
 def _classes(found: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) of documents linked by verified passages."""
     return connected_components(found.select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct(), work)
@@ -216,147 +266,163 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def _doubles(placed: DataFrame) -> DataFrame:
-    """(key, doc, class, l, r): stretches that windows of two hashes have in common and a run of LEAST shingles may share, keyed by both minima."""
-    dealt = placed.select("doc", "c", "key", "l", "r", "class").repartition("doc").sortWithinPartitions("doc", "c")
+def anchor_places(words: np.ndarray) -> np.ndarray:
+    """Places of the shingles whose least word is the first or the last one."""
+    m = len(words) - SHINGLE + 1
+    if m < 1:
+        return np.empty(0, np.int64)
+    least = words[:m].copy()
+    for k in range(1, SHINGLE):
+        np.minimum(least, words[k : k + m], out=least)
+    return np.flatnonzero((least == words[:m]) | (least == words[SHINGLE - 1 :]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None  # rows before this batch that may meet its rows
+
+def _anchors(texts: DataFrame, bits: int) -> DataFrame:
+    """Packed (shingle, doc, at): the anchors of every text.
+
+    48 bits of the shingle tell it well enough to meet on; ``at`` is 23 bits of
+    the text's hash, the place, and the anchor's number modulo 256.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(6)])
-            old = 0
-            if kept is not None:
-                old = kept.shape[1]
-                rows = np.concatenate((kept, rows), axis=1)
-            doc, c, key, lo, hi, cls = rows
-            for lag in range(1, rows.shape[1]):
-                x = np.arange(max(old - lag, 0), rows.shape[1] - lag)
-                y = x + lag
-                near = (doc[x] == doc[y]) & (c[y] - c[x] < LEAST)
-                if not near.any():
-                    break
-                near &= (key[x] & 7) != (key[y] & 7)
-                left, right = np.maximum(lo[x], lo[y]), np.minimum(hi[x], hi[y])
-                near &= (left <= c[x]) & (right >= c[y]) & (right - left >= LEAST - 1)
-                x, y = x[near], y[near]
-                if not len(x):
+            for doc, text, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = word_hashes(text.as_py() or b"")
+                if len(words) < WORDS:
                     continue
-                swap = (key[x] & 7) > (key[y] & 7)
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                both = mix(mix(key[x].view(np.uint64)) + key[y].view(np.uint64)).view(np.int64)
-                cols = [both, doc[x], cls[x], np.maximum(lo[x], lo[y]).astype(np.int32), np.minimum(hi[x], hi[y]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["key", "doc", "class", "l", "r"])
-            kept = rows[:, (doc == doc[-1]) & (c > c[-1] - LEAST)]
+                pos = anchor_places(words)
+                place = shingle_sequence(words)[pos]
+                at = (copy & 0x7FFFFF) << 40 | pos << 8 | np.arange(len(pos)) & 255
+                yield place, [(place >> np.uint64(16)).view(np.int64), np.full(len(pos), doc, np.int64), at]
 
-    return dealt.mapInArrow(run, "key long, doc long, class long, l int, r int")
+    return texts.select("id", "text", F.xxhash64("text")).mapInArrow(lambda batches: _dealt(found(batches), bits), PACKED)
 
 
-def _open_ranges(members: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
-    """(id, ranges) of documents where windows of two hashes are those of a document of another class too."""
-    doubles = work.stage(_doubles(_mixed(_classed(members, classes))), "doubles")
-    return _mixed(doubles).groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("l", "r")).alias("ranges"))
+def _shared(anchors: DataFrame, bits: int) -> DataFrame:
+    """Packed (doc, at, df, shingle) of the anchors that several documents have; ``df`` counts them."""
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        for shingle, doc, at in _buckets(batches):
+            order = np.argsort(shingle)
+            shingle, doc, at = shingle[order], doc[order], at[order]
+            heads = np.flatnonzero(np.diff(shingle, prepend=-1))
+            sizes = np.diff(np.append(heads, len(shingle)))
+            several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+            rows = np.repeat(several, sizes)
+            held = [doc[rows], at[rows], np.repeat(sizes, sizes)[rows], shingle[rows]]
+            yield mix(held[0].view(np.uint64)), held
 
-def _shingles_in(texts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc, copy, pos, shingle, first) of the shingles inside the ranges.
+    return _gathered(anchors).mapInArrow(lambda batches: _dealt(found(batches), bits), PACKED)
 
-    ``first`` marks one place of each in its text, ``copy`` keeps the texts apart
-    that share an id.
-    """
+
+def _leads(shared: DataFrame) -> DataFrame:
+    """(doc, copy, a, b, key): the leads of every live stretch [a, b], each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, copy, text, spans in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                s = shingle_sequence(word_hashes(text.as_py() or b""))
-                steps = np.zeros(len(s) + 1, np.int32)
-                for x in spans:
-                    if x["l"] < len(s):  # a window may be of another text with the same id
-                        steps[x["l"]] += 1
-                        steps[min(x["r"] + 1, len(s))] -= 1
-                pos = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-                first = np.zeros(len(pos), bool)
-                first[np.unique(s[pos], return_index=True)[1]] = True
-                for at in range(0, len(pos), _CHUNK):
-                    k = pos[at : at + _CHUNK]
-                    same = [np.full(len(k), x, np.int64) for x in (doc, copy)]
-                    cols = [*same, k.astype(np.int32), s[k].view(np.int64), first[at : at + _CHUNK]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "copy", "pos", "shingle", "first"])
+        for doc, at, df, shingle in _buckets(batches):
+            order = np.lexsort((at, doc))
+            doc, at, df, shingle = doc[order], at[order], df[order], shingle[order]
+            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))  # repeated rows
+            doc, at, df, shingle = doc[new], at[new], df[new], shingle[new]
+            text, pos, number = at >> 40, at >> 8 & 0xFFFFFFFF, at & 255
+            starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))))
+            parts = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
+                for a, b, leads in live_runs(pos[lo:hi], df[lo:hi], shingle[lo:hi], number[lo:hi], GAP):
+                    keys = np.unique(shingle[lo + leads])
+                    parts.append([*(np.full(len(keys), x) for x in (doc[lo], text[lo], a, b)), keys])
+            if parts:
+                cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "copy", "a", "b", "key"]
+                )
+
+    return _gathered(shared).mapInArrow(run, "doc long, copy long, a int, b int, key long")
 
-    held = texts.join(ranges, "id").select("id", F.xxhash64("text"), "text", "ranges")
-    return held.mapInArrow(run, "doc long, copy long, pos int, shingle long, first boolean")
 
+def _fewest(gap: int) -> int:
+    """The least number of shared places of a passage, where any ``gap`` shingles in a row hold one: RARE - 1 missing ones part it."""
+    return -(-(SHARED - RARE * (gap - 1)) // gap)
 
-def live_runs(pos: np.ndarray, df: np.ndarray, shingle: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(a, b, leads): stretches of runs of LEAST places, SHARED of them in ``pos``, and the rows of ``pos`` on which they may meet.
+
+def live_runs(
+    pos: np.ndarray, df: np.ndarray, shingle: np.ndarray, number: np.ndarray | None = None, gap: int = 1
+) -> list[tuple[int, int, np.ndarray]]:
+    """(a, b, leads): stretches of runs of LEAST places that another text may hold, and the rows of ``pos`` on which they may meet.
 
     ``pos`` is sorted and holds the places of shingles that others have, ``df``
-    how many have them.  Of each run the leads are the rarest, so many that they
-    and the places missing make RARE.
+    how many have them.  All shingles of the text may be there, or only its
+    anchors, of which any ``gap`` places in a row hold one; ``number`` counts the
+    anchors modulo 256, those of no other text too.  A run is live if at most LEAST - SHARED
+    are known to be missing from others.  Of each run the leads are the rarest, so
+    many that they and the missing ones make RARE.
     """
-    if len(pos) < SHARED:
+    if len(pos) < _fewest(gap):
         return []
-    first = int(pos[0])
-    there = np.zeros(int(pos[-1]) - first + LEAST + 1, np.int32)
-    there[pos - first] = 1
-    total = np.concatenate(([0], np.cumsum(there)))
-    good = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= SHARED)
-    if not len(good):
+    number = pos if number is None else number
+    # a window's rows change only where a place enters or leaves it
+    starts = np.unique(np.maximum(np.concatenate((pos, pos - LEAST + 1, pos + 1, pos - LEAST)), 0))
+    lo, hi = np.searchsorted(pos, starts), np.searchsorted(pos, starts + LEAST)
+    starts, lo, hi = (x[hi > lo] for x in (starts, lo, hi))
+    n = hi - lo
+    # the fewest missing ones over all starts with these rows: those at the ends are known by their gaps alone
+    missing = (number[hi - 1] - number[lo] & 255) + 1 - n
+    missing += np.maximum(LEAST - (pos[hi - 1] - pos[lo] + 1) - (gap - 1), 0) // gap
+    live = (missing < RARE) & (n >= _fewest(gap))
+    if not live.any():
         return []
+    starts, lo, n, missing = (x[live] for x in (starts, lo, n, missing))
     order = np.lexsort((shingle, df))
     rank = np.empty(len(pos), np.int64)
     rank[order] = np.arange(len(pos))
+    lead = np.zeros(len(pos), bool)
+    for k in range(0, len(starts), _ROWS):
+        some = slice(k, k + _ROWS)
+        cells = lo[some, None] + np.arange(int(n[some].max()))
+        inside = np.arange(cells.shape[1]) < n[some, None]
+        ranks = np.where(inside, rank[np.minimum(cells, len(pos) - 1)], len(pos))
+        last = np.minimum(RARE - missing[some], n[some]) - 1
+        chosen = ranks <= np.take_along_axis(np.sort(ranks, axis=1), last[:, None], axis=1)
+        lead[cells[chosen & inside]] = True
     out = []
-    for starts in np.split(good, np.flatnonzero(np.diff(good) > LEAST) + 1):
-        leads: set[int] = set()
-        for g in starts.tolist():
-            lo, hi = int(total[g]), int(total[g + LEAST])
-            need = RARE - (LEAST - (hi - lo))
-            leads.update((lo + np.argpartition(rank[lo:hi], need - 1)[:need]).tolist())
-        out.append((first + int(starts[0]), first + int(starts[-1]) + LEAST - 1, np.array(sorted(leads))))
+    for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > LEAST) + 1):
+        a, b = int(starts[part[0]]), int(starts[part[-1]]) + LEAST - 1
+        x, y = np.searchsorted(pos, (a, b + 1))
+        out.append((a, b, x + np.flatnonzero(lead[x:y])))
     return out
 
 
-def _spots(rows: DataFrame) -> DataFrame:
-    """(doc, a, b, content, shingle, lead) of rows (doc, copy, pos, shingle, first) inside live stretches [a, b].
-
-    A shingle that a stretch repeats comes once; equal stretches have equal ``content``.
-    """
-    shared = rows.where("first").groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per = rows.join(shared, "shingle").groupBy("doc", "copy").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "shingle"))).alias("at"))
+def _named(leads: DataFrame, texts: DataFrame) -> DataFrame:
+    """``leads`` plus ``content``, which equal stretches have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "a", "b", "content", "shingle", "lead"]
         for batch in batches:
-            for doc, at in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                pos, df, shingle = (at.values.field(k).to_numpy() for k in range(3))
-                pos, keep = np.unique(pos, return_index=True)  # repeated rows
-                df, shingle = df[keep], shingle[keep]
-                for a, b, leads in live_runs(pos.astype(np.int64), df, shingle):
-                    lo, hi = np.searchsorted(pos, (a, b + 1))
-                    held, place = np.unique(shingle[lo:hi], return_inverse=True)
-                    lead = np.zeros(len(held), bool)
-                    lead[place[leads - lo]] = True
-                    text = (pos[lo:hi] - a).astype(np.int64).tobytes() + shingle[lo:hi].tobytes()
-                    content = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                    same = [np.full(len(held), x, t) for x, t in ((doc, np.int64), (a, np.int32), (b, np.int32), (content, np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*same, held, lead)], names=names)
-
-    return per.where(F.size("at") >= SHARED).select("doc", "at").mapInArrow(run, "doc long, a int, b int, content long, shingle long, lead boolean")
+            rows = []
+            for doc, copy, text, spans in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                s = shingle_sequence(word_hashes(text.as_py() or b""))
+                for x in spans:
+                    held = hashlib.blake2b(s[max(x["a"], 0) : x["b"] + 1].tobytes(), digest_size=8).digest()
+                    rows.append((doc, copy, x["a"], x["b"], int.from_bytes(held, "little", signed=True)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc", "copy", "a", "b", "content"]
+            )
+
+    spans = leads.groupBy(F.col("doc").alias("id"), "copy").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    own = texts.select("id", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFF)).alias("copy"), "text")
+    held = own.join(spans, ["id", "copy"]).select("id", "copy", "text", "spans")
+    return leads.join(held.mapInArrow(run, "doc long, copy long, a int, b int, content long").distinct(), ["doc", "copy", "a", "b"])
 
 
 def _unsettled(spots: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Candidates: stretches of documents of different classes that hold one lead.
+    """Candidates: stretches of documents of different classes that have a lead in common.
 
-    One of each class meets one of the largest, or in the last turn every lead all
+    One of each class meets one of the largest, or in the last turn every one all
     others.  Of equal stretches of a class one stands for all.
     """
-    leads = spots.where("lead").select("shingle").distinct()
-    held = _classed(spots.join(leads, "shingle", "left_semi"), classes)
-    once = held.groupBy(F.col("shingle").alias("key"), "class", "content").agg(
-        F.max("lead").alias("lead"), F.min(F.struct("doc", "a", "b")).alias("w")
-    )
+    once = _classed(spots, classes).groupBy("key", "class", "content").agg(F.min(F.struct("doc", "a", "b")).alias("w"))
     named = _mixed(once)
     if turn < TURNS:
         parts = named.groupBy("key", "class").agg(
@@ -365,8 +431,8 @@ def _unsettled(spots: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
         heads = parts.groupBy("key").agg(F.max(F.struct("n", "class", "w")).alias("top"))
         met = parts.join(heads, "key").where(F.col("class") != F.col("top.class")).select("w", F.col("top.w").alias("v"))
     else:
-        x, y = named.where("lead").alias("x"), named.alias("y")
-        met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.class <> y.class").select("x.w", F.col("y.w").alias("v"))
+        x, y = named.alias("x"), named.alias("y")
+        met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.class < y.class").select("x.w", F.col("y.w").alias("v"))
     turned = F.col("w.doc") < F.col("v.doc")
     side = lambda one, two: F.when(turned, F.col(one)).otherwise(F.col(two))
     return met.select(
@@ -482,19 +548,19 @@ def repeated_passages(
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")
     ).where("id IS NOT NULL")
-    edges = work.stage(_edges(_windows(texts)), "edges")
-    first = edges.where("doc <> rdoc").select("doc", "rdoc", F.col("key").bitwiseAND(F.lit(7)).cast("int").alias("hash"), "l", "r", "rl", "rr")
-    candidates = work.stage(_candidates(first), "candidates")
+    # so many buckets that each holds about five hundred to a thousand documents' rows
+    bits = min(max(texts.count() // 1000, 1 << 6).bit_length(), 15)
+    edges = work.stage(_edges(_windows(texts, bits)), "edges")
+    candidates = work.stage(_candidates(edges), "candidates")
     found = work.stage(_verified(candidates, texts, work), "found")
-    members = work.stage(_members(edges), "members")
     work.drop(edges)
     tried = candidates
     classes = _classes(found, work)
-    ranges = work.stage(_open_ranges(members, classes, work), "ranges")
-    work.drop(members)
-    shingles = work.stage(_shingles_in(texts, ranges), "shingles")
-    spots = work.stage(_spots(shingles), "spots")
-    work.drop(shingles)
+    leads = work.stage(_leads(_shared(_anchors(texts, bits), bits)), "leads")
+    open_leads = work.stage(_mixed(_classed(leads, classes)).drop("class"), "open")
+    work.drop(leads)
+    spots = work.stage(_named(open_leads, texts).drop("copy"), "spots")
+    work.drop(open_leads)
     for turn in range(TURNS + 1):
         more = work.stage(_unsettled(spots, classes, turn).join(tried, tried.columns, "left_anti"), "candidates")
         if not more.isEmpty():

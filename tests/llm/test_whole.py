@@ -216,6 +216,47 @@ def test_edited_passages_are_found(spark):
     assert all(c == i - i % 2 for i, c in got.items())
 
 
+def test_no_passage_at_the_threshold_is_left_out(spark):
+    """Passages of which 40 of 46 shingles are left and fewer than two hashes' minima."""
+    from plumbline.llm import words
+
+    def minima(ws):
+        s, out = words.shingle_sequence(words.word_hashes(" ".join(ws).encode())), set()
+        for j in range(substring.HASHES):
+            v = s * substring._MUL[j] + substring._ADD[j]
+            out |= {(j, int(v[c])) for _, c, _ in substring.compact_windows(v)}
+        return out
+
+    rng, rows = random.Random(61), []
+    while len(rows) < 40:
+        p = some_words(rng, 50)
+        q = [*p[:25], "edit", *p[26:49], "end"]
+        x, y = some_words(rng, 30) + p + some_words(rng, 30), some_words(rng, 40) + q + some_words(rng, 9)
+        if len({j for j, _ in minima(x) & minima(y)}) < 2:
+            rows += [(len(rows), " ".join(x)), (len(rows) + 1, " ".join(y))]
+    got = {r.doc_id: r.class_id for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
+def test_any_four_shingles_hold_an_anchor():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n in (5, 8, 9, 300):
+        words = rng.integers(0, 40, n).astype(np.uint64)
+        there = np.zeros(n - 4, bool)
+        there[substring.anchor_places(words)] = True
+        assert all(there[k : k + substring.GAP].any() for k in range(n - 4 - substring.GAP + 1))
+
+
+def test_packed_columns_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    cols = [rng.integers(-(1 << 63), (1 << 63) - 1, 50), np.full(50, -3), rng.integers(0, 70_000, 50)]
+    assert all((x == y).all() for x, y in zip(substring.unpacked(substring.packed(cols)), cols, strict=True))
+
+
 def test_live_runs_keep_every_run_that_can_be_shared():
     import numpy as np
 
