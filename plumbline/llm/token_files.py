@@ -10,10 +10,12 @@ unlisted file.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +49,7 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.code = Tokenizer.from_file(path), np.dtype(dtype).char
         self._parts: list[dict[str, bytes]] = [{}, {}]
         self._runs: list[dict[str, bytes]] = [{}, {}]
 
@@ -56,9 +58,19 @@ class LibraryEncoder:
         for at in range(0, len(runs), 20_000):
             some = runs[at : at + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                now[w] = np.array(e.ids, self.dtype).tobytes()
+                now[w] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text.  The many lists made here form no cycles, so the collector does not walk them."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         for memo in (self._parts, self._runs):
             if len(memo[0]) > MEMO_ENTRIES:
                 memo[:] = [{}, memo[0]]
@@ -80,7 +92,7 @@ class LibraryEncoder:
         self._library([r for r in new if r not in runs])
         for part, pieces in cut.items():
             now[part] = runs[pieces[0]] if len(pieces) == 1 else b"".join([runs[r] for r in pieces])
-        return [b"".join([now[w] for w in parts]) for parts in split]
+        return [b"".join(map(now.__getitem__, parts)) for parts in split]
 
 
 _encoders: dict[tuple[str, str], LibraryEncoder] = {}
