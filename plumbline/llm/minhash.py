@@ -38,6 +38,7 @@ _MUL = _rng.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, (1, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COLUMNS = 256
+TEXTS = 1000
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -69,11 +70,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(len(a)) and bool(len(b)) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of TEXTS rows, so that what is held of them at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _profiles(texts: DataFrame) -> DataFrame:
     """(id, n, set_key, bands) of (id, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n, key, bands, ends = [], [], [], [0]
             for text in batch.column(1):
                 s = shingle_set(text.as_py() or b"")
@@ -95,7 +103,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """(id, sig, set) of (id, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py() or b"") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -278,6 +278,15 @@ def test_live_runs_keep_every_run_that_can_be_shared():
             assert len(set(inside.tolist()) & set(held[0][2].tolist())) >= substring.RARE - missing
 
 
+def test_texts_are_read_in_small_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2 * minhash.TEXTS + 7))})
+    parts = list(minhash._slices(iter([batch])))
+    assert [p.num_rows for p in parts] == [minhash.TEXTS, minhash.TEXTS, 7]
+    assert pa.Table.from_batches(parts).column("id").to_pylist() == list(range(2 * minhash.TEXTS + 7))
+
+
 # --- op6 ---
 
 
