@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import kernels as k
 from plumbline.operators import checks, floorplan, graph, joins, polygons
 from plumbline.plans import more
 from plumbline.sources.staging import Workspace
@@ -89,3 +91,34 @@ def test_walls_of_copies_and_boxes_with_points(spark):
     expect = sorted((i, j) for i in range(21) for j in range(21) if (j <= 20 if i < 20 else j >= 10))
     found = joins.spread_boxes(boxes, dots, 4.0)
     assert sorted(tuple(r) for r in found.collect()) == expect
+
+
+def test_last_edges_are_merged_at_once(spark, monkeypatch):
+    staged, stage = [], Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, label: staged.append(label) or stage(self, df, label))
+    rng = random.Random(5)
+    path = [(i, i + 1) for i in range(0, 300)] + [(400 + i, 400 + rng.randint(0, 99)) for i in range(100)]
+    nodes = spark.createDataFrame([(i,) for i in range(520)], "id long")
+    edges = spark.createDataFrame(path, "a long, b long")
+    got = {tuple(r) for r in graph.components(nodes, edges).collect()}
+    assert len(staged) <= 3 and {c for i, c in got if i <= 300} == {0} and len(got) == 520
+    pair = lambda c: F.struct(F.lit("k").alias("k"), F.col(c).alias("v")).alias(c)
+    named = graph.components(nodes.select(pair("id")), edges.select(pair("a"), pair("b"))).selectExpr("id.v", "component.v AS c")
+    assert {tuple(r) for r in named.collect()} == got
+    monkeypatch.setattr(graph, "ONE_TASK", 3)
+    assert {tuple(r) for r in graph.components(nodes, edges).collect()} == got
+
+
+@pytest.mark.parametrize("most", [6, 2_000_000])
+def test_faces_of_rounds_and_of_one_task_equal_the_kernel(spark, monkeypatch, most):
+    staged, stage = [], Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, label: staged.append(label) or stage(self, df, label))
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    rng = random.Random(4)
+    rows = [tuple(rng.randint(0, 6) for _ in range(4)) for _ in range(9)] + [(20, 0, 24, 0), (24, 0, 22, 3), (22, 3, 20, 0), (24, 0, 30, 0), (30, 0, 31, 4)]
+    rows += [(30 + i, 10, 31 + i, 10 + i % 2) for i in range(12)]
+    found, _ = k.polygonize([((a, b), (c, d)) for a, b, c, d in rows if (a, b) != (c, d)])
+    want = sorted((round(k.area(f[0]), 3), len(f[0])) for f in found if k.area(f[0]) > 0.01)
+    got = graph.bounded_faces(lines(spark, *rows)).collect()
+    assert sorted((round(r.area, 3), r.n_vertices) for r in got if r.area > 0.01) == want
+    assert most == 6 or len(staged) <= 9
