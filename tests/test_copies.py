@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import kernels as k
-from plumbline.operators import checks, floorplan, graph, joins, polygons
+from plumbline.operators import checks, curves, floorplan, graph, joins, polygons
 from plumbline.plans import more
 from plumbline.sources.staging import Workspace
 from test_geometry import entity, lines, square, table
@@ -122,3 +122,16 @@ def test_faces_of_rounds_and_of_one_task_equal_the_kernel(spark, monkeypatch, mo
     got = graph.bounded_faces(lines(spark, *rows)).collect()
     assert sorted((round(r.area, 3), r.n_vertices) for r in got if r.area > 0.01) == want
     assert most == 6 or len(staged) <= 9
+
+
+def test_curves_are_cut_by_rows_of_points(spark):
+    comb = [(i + 0.5, -1, i + 0.5, 1) for i in range(40)]
+    own = table(spark, entity(900, [(0, 0), (40, 0), (40, 5)]), *[entity(i, [(a, b), (c, d)]) for i, (a, b, c, d) in enumerate(comb)])
+    out = curves.break_crossings(own)
+    pieces = {}
+    for r in out.collect():
+        pieces.setdefault(r.id, {})[r.piece] = [(v.x, v.y) for v in r.vertices]
+    stops = [(0.0, 0.0), *[(i + 0.5, 0.0) for i in range(40)]]
+    assert [pieces[900][i] for i in range(41)] == [*([a, b] for a, b in zip(stops, stops[1:])), [(39.5, 0.0), (40.0, 0.0), (40.0, 5.0)]]
+    assert all(len(pieces[i]) == 2 for i in range(40))
+    assert "flatten(" not in out._jdf.queryExecution().toString()  # segments by points are rows, not arrays in a row
