@@ -26,8 +26,6 @@ FIRST_DIGITS = 3
 BUCKET_ROWS = 50_000
 #: A cell above this share of the least capacity is split before places of cuts are worked out.
 COARSE = 64
-#: Runs of cells that one job splits; the rest wait for the next.
-MOST_RUNS = 256
 
 
 @dataclass(frozen=True)
@@ -89,7 +87,7 @@ def undecided(cells: list[Cell], shards: int, lo: int, hi: int) -> list[tuple[in
     if large:
         held = set(large)
         first, last = [k for k in large if k - 1 not in held], [k for k in large if k + 1 not in held]
-        return list(zip(first, last, strict=True))[:MOST_RUNS]
+        return list(zip(first, last, strict=True))
     ends = list(accumulate(c.size for c in cells))
     low, high, runs = 0, 0, []
     for _ in range(shards):
@@ -100,7 +98,7 @@ def undecided(cells: list[Cell], shards: int, lo: int, hi: int) -> list[tuple[in
                 runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
             else:
                 runs.append((a, b))
-    return [(a, b) for a, b in runs if not all(c.atomic for c in cells[a : b + 1])][:MOST_RUNS]
+    return [(a, b) for a, b in runs if not all(c.atomic for c in cells[a : b + 1])]
 
 
 def balanced_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
@@ -140,17 +138,22 @@ def _digest(keyed: DataFrame, cell: Column) -> list[Cell]:
 
 
 def _finer(keyed: DataFrame, cells: list[Cell], runs: list[tuple[int, int]]) -> list[Cell]:
-    """The digest with the cells of each run replaced by cells of one digit more, in one job."""
-    cell, gone = F.lit(None).cast("string"), set()
+    """The digest with the cells of each run replaced by cells of one digit more, in one job.
+
+    Cells go to the rows as a table: a condition per run makes an expression as deep as there are runs.
+    """
+    finer, gone = [], set()
     for a, b in runs:
-        digits = max(len(c.prefix) for c in cells[a : b + 1] if not c.atomic) + 1
-        inside = F.col("key") >= F.lit(cells[a].prefix)
-        if b + 1 < len(cells):
-            inside = inside & (F.col("key") < F.lit(cells[b + 1].prefix))
-        cell = F.when(inside, F.substring("key", 1, digits)).otherwise(cell)
-        gone |= set(range(a, b + 1))
+        split = [k for k in range(a, b + 1) if not cells[k].atomic]
+        digits = max(len(cells[k].prefix) for k in split) + 1
+        finer += [(cells[k].prefix, digits) for k in split]
+        gone |= set(split)
+    named = F.broadcast(keyed.sparkSession.createDataFrame(finer, "prefix string, digits int"))
+    lengths = sorted({len(prefix) for prefix, _ in finer})
+    starts = F.explode(F.array(*[F.substring("key", 1, n) for n in lengths]))  # a key begins with one cell's prefix at most
+    inside = keyed.where("key <> ''").select("key", "hash", "size", starts.alias("prefix")).join(named, "prefix").drop("prefix")
     kept = [c for k, c in enumerate(cells) if k not in gone]
-    return sorted(kept + _digest(keyed, cell), key=lambda c: c.prefix)
+    return sorted(kept + _digest(inside, F.expr("substring(key, 1, digits)")), key=lambda c: c.prefix)
 
 
 def plan_cuts(keyed: DataFrame, shards: int) -> tuple[int, list[str]]:

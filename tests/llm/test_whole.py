@@ -452,3 +452,17 @@ def test_stages_with_clashing_columns(spark, clashing, no_docs, fixture_rows, tm
         assert (12 in left) == (name != "decontamination") and 20 in left
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, clashing, "").count() == clashing.count() and last(spark, no_docs, "").count() == 0
+
+
+def test_many_cells_are_split_by_a_table_and_not_by_conditions(spark, monkeypatch):
+    seen, digest = [], sharding._digest
+    monkeypatch.setattr(sharding, "_digest", lambda keyed, cell: seen.append(str(cell)) or digest(keyed, cell))
+    keyed = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), (F.col("id") + 1).alias("size")).withColumn("hash", F.xxhash64("key"))
+    keyed = keyed.union(spark.createDataFrame([("", 5, 1)], "key string, size long, hash long"))
+    cells = sorted(digest(keyed, F.substring("key", 1, 2)), key=lambda c: c.prefix)
+    runs = [(i, i) for i in range(1, len(cells), 2)]
+    got = {(c.prefix, c.size) for c in sharding._finer(keyed, cells, runs)}
+    expect = {(c.prefix, c.size) for c in cells[::2]}
+    split = {cells[a].prefix for a, _ in runs}
+    expect |= {(c.prefix, c.size) for c in digest(keyed, F.substring("key", 1, 3)) if c.prefix[:2] in split}
+    assert got == expect and len(runs) > 100 and len(seen[0]) < 200
