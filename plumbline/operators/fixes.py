@@ -16,18 +16,22 @@ def break_until_clean(lines: DataFrame, cell: float = 8.0) -> DataFrame:
     ``id`` is the line that a piece was cut from; pieces are in order along it.
     """
     work = Workspace(lines.sparkSession, "break")
-    key = F.struct("source", "x1", "y1", "x2", "y2")
-    now = work.stage(lines.select(F.col("id").alias("source"), "x1", "y1", "x2", "y2").withColumn("id", key), "lines")
+    number = lambda cut: work.stage(cut.withColumn("id", F.monotonically_increasing_id()), "lines")
+    now = number(lines.select(F.col("id").alias("source"), "x1", "y1", "x2", "y2"))
     before = None
     while True:
         met = work.stage(joins.crossings(now, cell), "met")
         count = met.count()
         if not count or count == before:
+            work.drop(met)
             break
         before = count
-        cuts = met.select(F.explode(F.array("a_id", "b_id")).alias("id"), "x", "y").distinct()
-        cut = checks.split_lines(now, cuts).select(F.col("id.source").alias("source"), "x1", "y1", "x2", "y2")
-        now = work.stage(cut.withColumn("id", key), "lines")
+        cuts = met.select(F.explode(F.array("a_id", "b_id")).alias("id"), "x", "y")
+        pieces = checks.split_lines(now, cuts).select("id", "x1", "y1", "x2", "y2")
+        sources = now.select(F.col("id"), "source")
+        cut = number(pieces.join(joins.large(sources), "id").select("source", "x1", "y1", "x2", "y2"))
+        work.drop(met, now)
+        now = cut
     own = lines.select("id", F.col("x1").alias("ox"), F.col("y1").alias("oy"))
     far = F.pow(F.col("x1") - F.col("ox"), 2) + F.pow(F.col("y1") - F.col("oy"), 2)
     pieces = now.select(F.col("source").alias("id"), "x1", "y1", "x2", "y2").join(own, "id")

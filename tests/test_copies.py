@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import kernels as k
-from plumbline.operators import checks, curves, floorplan, graph, joins, polygons
+from plumbline.operators import checks, curves, fixes, floorplan, graph, joins, polygons
 from plumbline.plans import more
 from plumbline.sources.staging import Workspace
 from test_geometry import entity, lines, square, table
@@ -135,3 +135,17 @@ def test_curves_are_cut_by_rows_of_points(spark):
     assert [pieces[900][i] for i in range(41)] == [*([a, b] for a, b in zip(stops, stops[1:])), [(39.5, 0.0), (40.0, 0.0), (40.0, 5.0)]]
     assert all(len(pieces[i]) == 2 for i in range(40))
     assert "flatten(" not in out._jdf.queryExecution().toString()  # segments by points are rows, not arrays in a row
+
+
+def test_tables_of_earlier_rounds_are_dropped(spark, monkeypatch):
+    kept, stage, drop = [], Workspace.stage, Workspace.drop
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, label: kept.append(label) or stage(self, df, label))
+    monkeypatch.setattr(Workspace, "drop", lambda self, *tables: [kept.pop() for _ in tables] and drop(self, *tables))
+    rows = [(0, i, 9, i) for i in range(1, 5)] + [(i, 0, i, 9) for i in range(1, 5)]
+    out = fixes.break_until_clean(lines(spark, *rows))
+    assert len(kept) == 1
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, {})[r.piece] = (r.x1, r.y1, r.x2, r.y2)
+    assert [got[0][i] for i in range(5)] == [(0, 1, 1, 1), (1, 1, 2, 1), (2, 1, 3, 1), (3, 1, 4, 1), (4, 1, 9, 1)]
+    assert {i: len(p) for i, p in got.items()} == dict.fromkeys(range(8), 5)
