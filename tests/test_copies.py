@@ -149,3 +149,12 @@ def test_tables_of_earlier_rounds_are_dropped(spark, monkeypatch):
         got.setdefault(r.id, {})[r.piece] = (r.x1, r.y1, r.x2, r.y2)
     assert [got[0][i] for i in range(5)] == [(0, 1, 1, 1), (1, 1, 2, 1), (2, 1, 3, 1), (3, 1, 4, 1), (4, 1, 9, 1)]
     assert {i: len(p) for i, p in got.items()} == dict.fromkeys(range(8), 5)
+
+
+def test_polygonized_looks_for_meetings_once(spark, monkeypatch):
+    calls, box_join = [], joins.box_join
+    monkeypatch.setattr(joins, "box_join", lambda *args, **kw: calls.append(1) or box_join(*args, **kw))
+    monkeypatch.setattr(polygons, "box_join", joins.box_join)
+    rows = [(-1, 0, 5, 0), (-1, 4, 5, 4), (0, -1, 0, 5), (4, -1, 4, 5), (20, 0, 22, 0), (22, 0, 22, 2), (22, 2, 20, 0)]
+    got = sorted(tuple(r) for r in polygons.polygonized(lines(spark, *rows)).collect())
+    assert got == [(0, 16.0, 4), (4, 2.0, 3)] and len(calls) == 1
