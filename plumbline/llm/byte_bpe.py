@@ -32,7 +32,8 @@ _NEVER = 1 << 62
 assert sys.byteorder == "little" and array("I").itemsize == 4
 # Fixed value: Unicode White_Space, which the split pattern's \s stands for.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
-MEMO_ENTRIES = 500_000
+#: Of each memo and generation: 2 x 2 x so many words and pieces are some 120 MB, which a worker keeps for later stages.
+MEMO_ENTRIES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -207,9 +208,12 @@ class TextEncoder:
         self._words: list[dict[str, bytes]] = [{}, {}]
 
     def _pack(self, text: str) -> bytes:
+        pieces = self.split(text)
+        if len(pieces) == 1 and len(text) <= 64:  # the word's memo holds it
+            return array("I", self.bpe.encode_piece(text.encode())).tobytes()
         out = []
         now, old = self._pieces
-        for piece in self.split(text):
+        for piece in pieces:
             ids = now.get(piece)
             if ids is None:
                 ids = old.get(piece) or array("I", self.bpe.encode_piece(piece.encode())).tobytes()

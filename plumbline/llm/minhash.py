@@ -38,6 +38,7 @@ _MUL = _rng.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, (1, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COLUMNS = 256
+#: Texts, or pairs of sets, that a Python worker takes at once: ten thousand are over 100 MB on both sides.
 TEXTS = 1000
 
 
@@ -241,7 +242,7 @@ def near_duplicates(
     """
     work = work or Workspace(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    profiles = work.stage(_profiles(texts), "profiles")
+    profiles = work.stage(_profiles(texts), "profiles", TEXTS)
     full = profiles.where("n > 0 AND id IS NOT NULL")
     classes = work.stage(full.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes, "set_key").where("id = rep")
@@ -249,11 +250,11 @@ def near_duplicates(
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
     members = work.stage(banded.join(buckets.select("key", "leader"), "key").select("key", "rep", "n", "leader"), "members")
     ids = members.select(F.col("rep").alias("id")).distinct()
-    sets = work.stage(_sets(texts.join(ids, "id", "left_semi")), "sets")
+    sets = work.stage(_sets(texts.join(ids, "id", "left_semi")), "sets", TEXTS)
     tried = work.stage(
         members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "tried"
     )
-    edges = work.stage(_compared(tried, sets, percent), "links")
+    edges = work.stage(_compared(tried, sets, percent), "links", TEXTS)
     links = connected_components(edges, work)
     for turn in range(TURNS + 1):
         if turn < TURNS:  # one member of each component against one of the bucket's largest
@@ -261,9 +262,9 @@ def near_duplicates(
             pairs = parts.select(F.least("rep", "major").alias("a"), F.greatest("rep", "major").alias("b")).distinct()
         else:
             contested = work.stage(_contested(members, links), "contested")
-            pairs = _untested(work.stage(_rare_first(contested, sets), "ranked"), percent)
+            pairs = _untested(work.stage(_rare_first(contested, sets), "ranked", TEXTS), percent)
         pairs = work.stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = work.stage(_compared(pairs, sets, percent), "links")
+        more = work.stage(_compared(pairs, sets, percent), "links", TEXTS)
         tried = tried.union(pairs)
         if not more.isEmpty():
             edges = edges.union(more)

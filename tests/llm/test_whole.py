@@ -466,3 +466,32 @@ def test_many_cells_are_split_by_a_table_and_not_by_conditions(spark, monkeypatc
     split = {cells[a].prefix for a, _ in runs}
     expect |= {(c.prefix, c.size) for c in digest(keyed, F.substring("key", 1, 3)) if c.prefix[:2] in split}
     assert got == expect and len(runs) > 100 and len(seen[0]) < 200
+
+
+def test_staged_tables_bound_the_batches_of_python_functions(spark):
+    import pyarrow as pa
+
+    from plumbline.sources.staging import ARROW_ROWS, Workspace
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(ARROW_ROWS)
+    work = Workspace(spark, "batches")
+    frame = lambda: spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")
+    assert sorted(r.n for r in work.stage(frame(), "bound", 1000).collect()) == [500, 1000, 1000]
+    assert spark.conf.get(ARROW_ROWS) == before and [r.n for r in work.stage(frame(), "free").collect()] == [2500]
+
+
+def test_words_of_one_piece_are_held_once():
+    import public_tokenizers as P
+
+    from plumbline.llm import byte_bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = byte_bpe.TextEncoder(byte_bpe.PrefixBpe(byte_bpe.load_ranks(path)), P.PATTERN)
+    text = " ".join(["some plain text without signs"] * 3)
+    ids = enc.encode(text)
+    assert set(enc._words[0]) == {"plain", "text", "without", "signs", "some"} and not enc._pieces[0]
+    assert ids == enc._pack(text) == enc.encode(text)
