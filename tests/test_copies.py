@@ -158,3 +158,31 @@ def test_polygonized_looks_for_meetings_once(spark, monkeypatch):
     rows = [(-1, 0, 5, 0), (-1, 4, 5, 4), (0, -1, 0, 5), (4, -1, 4, 5), (20, 0, 22, 0), (22, 0, 22, 2), (22, 2, 20, 0)]
     got = sorted(tuple(r) for r in polygons.polygonized(lines(spark, *rows)).collect())
     assert got == [(0, 16.0, 4), (4, 2.0, 3)] and len(calls) == 1
+
+
+def test_contours_of_large_regions_equal_the_kernel_and_are_not_one_task(spark):
+    rng = random.Random(11)
+    rows = [entity(i, square(rng.randint(0, 60), rng.randint(0, 60), rng.randint(2, 9)), True) for i in range(60)]
+    # a frame with a ring inside that touches nothing, one in its hole, and one that meets the frame in a point
+    frame = [(100, 0), (140, 0), (140, 40), (100, 40), (100, 0), (110, 10), (110, 30), (130, 30), (130, 10), (110, 10)]
+    rows += [entity(100, frame, True), entity(101, square(102, 2, 5), True), entity(102, square(115, 15, 5), True), entity(103, square(140, 40, 5), True)]
+    # skew ones, both ways round, and one without area
+    skew = [[(200 + rng.random() * 40, rng.random() * 40) for _ in range(3)] for _ in range(14)]
+    rows += [entity(200 + i, ring, True) for i, ring in enumerate(skew)] + [entity(300, [(400, 0), (410, 0), (405, 0)], True)]
+    e = table(spark, *rows)
+    found = polygons.region_contours(e)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = {r.component: r for r in found.collect()}
+    held = {r.id: [(p.x, p.y) for p in r.ring] for r in polygons.rings(e).collect()}
+    regions = {}
+    for r in polygons.regions(e).collect():
+        regions.setdefault(r.component, []).append(held[r.id])
+    assert set(got) == set(regions) and max(map(len, regions.values())) >= 10
+    for c, rings in regions.items():
+        size, parts, empty = k.union(rings)
+        outer = max((q for q in parts if k.area(q) > 0), key=k.area, default=[])
+        holes = [k.face_area(f) for f in empty if k.face_area(f) >= polygons.SLIVER]
+        r = got[c]
+        assert (r.n_rings, r.n_holes) == (len(rings), len(holes)), c
+        assert abs(r.area - size) < 1e-5 and abs(r.hole_area - sum(holes)) < 1e-5, c
+        assert [(p.x, p.y) for p in r.contour] == outer, c
