@@ -186,3 +186,11 @@ def test_contours_of_large_regions_equal_the_kernel_and_are_not_one_task(spark):
         assert (r.n_rings, r.n_holes) == (len(rings), len(holes)), c
         assert abs(r.area - size) < 1e-5 and abs(r.hole_area - sum(holes)) < 1e-5, c
         assert [(p.x, p.y) for p in r.contour] == outer, c
+
+
+def test_pieces_of_contours_are_numbered_in_the_order_of_their_ids(spark, monkeypatch):
+    seen, polygonized = [], polygons.polygonized
+    monkeypatch.setattr(polygons, "polygonized", lambda segs, cell: seen.append(segs) or polygonized(segs, cell))
+    rows = [(x - 1, y, x + 5, y) for x, y in ((20, 0), (20, 4), (0, 0), (0, 4))] + [(x, -1, x, 5) for x in (20, 24, 0, 4)]
+    got = sorted((r.component.id, r.component.piece, r.area, r.n_vertices) for r in floorplan.apartment_contour(lines(spark, *rows)).collect())
+    assert got == [(0, 0, 16.0, 4), (2, 0, 16.0, 4)] and seen[0].schema["id"].dataType.typeName() == "long"
