@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import kernels as k
 from plumbline.operators import checks, curves, fixes, floorplan, graph, joins, polygons
-from plumbline.plans import more
+from plumbline.plans import more, queries
 from plumbline.sources.staging import Workspace
 from test_geometry import entity, lines, square, table
 
@@ -93,6 +93,20 @@ def test_walls_of_copies_and_boxes_with_points(spark):
     assert sorted(tuple(r) for r in found.collect()) == expect
 
 
+def test_wall_candidates_are_all_pairs_within_the_width(spark, tmp_path):
+    rows = [(0, y, 10, y) for y in (0, 0, 1, 1, 3)] + [(2, 0.5, 4, 0.5)]
+    segs, twin = lines(spark, *rows), lines(spark, *rows)
+    plain = sorted(tuple(r) for r in floorplan.wall_candidates(segs, segs, 2.5).select("id", "inner_id", "dist", "overlap").collect())
+    for other in (segs, twin):
+        assert sorted(tuple(r) for r in floorplan.wall_pairs(segs, other, 2.5).collect()) == plain and len(plain) == 20
+    spark.createDataFrame([(i,) for i in (1, 2, 201, 4001)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    side = lambda k: (k * 7919 % 4000, k * 6151 % 4000, k * 7919 % 4000 + 4 + k * 37 % 60, k * 6151 % 4000 + 4 + k * 53 % 60)
+    boxes = {k: [v / 4 for v in side(k)] for k in (1, 2, 201, 4001)}
+    sides = [(k * 8 + s, s % 2, *v) for k, (x, y, xx, yy) in boxes.items() for s, v in enumerate([(y, x, xx), (xx, y, yy), (yy, x, xx), (x, y, yy)])]
+    want = sorted((a[0], b[0]) for a in sides for b in sides if a[1] == b[1] and 0 < abs(a[2] - b[2]) < 2 and min(a[4], b[4]) > max(a[3], b[3]))
+    assert sorted((r.id, r.inner_id) for r in queries.QUERIES["wall_candidates"](spark, str(tmp_path)).collect()) == want
+
+
 def test_last_edges_are_merged_at_once(spark, monkeypatch):
     staged, stage = [], Workspace.stage
     monkeypatch.setattr(Workspace, "stage", lambda self, df, label: staged.append(label) or stage(self, df, label))
