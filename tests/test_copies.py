@@ -208,3 +208,9 @@ def test_pieces_of_contours_are_numbered_in_the_order_of_their_ids(spark, monkey
     rows = [(x - 1, y, x + 5, y) for x, y in ((20, 0), (20, 4), (0, 0), (0, 4))] + [(x, -1, x, 5) for x in (20, 24, 0, 4)]
     got = sorted((r.component.id, r.component.piece, r.area, r.n_vertices) for r in floorplan.apartment_contour(lines(spark, *rows)).collect())
     assert got == [(0, 0, 16.0, 4), (2, 0, 16.0, 4)] and seen[0].schema["id"].dataType.typeName() == "long"
+
+
+def test_the_contour_query_joins_undershoots(spark, monkeypatch):
+    rows = [(0, 0, 10, 0), (10, -1, 10, 11), (9, 10, 0, 10), (0, 11, 0, -1)]  # the third stops short of the second
+    monkeypatch.setattr(queries, "_segs", lambda *_: lines(spark, *rows))
+    assert [(r.area, r.n_vertices) for r in queries.QUERIES["apartment_contour"](spark, "").collect()] == [(100.0, 4)]
