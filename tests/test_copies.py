@@ -1,6 +1,7 @@
 """Larger tables: copies of geometry, ids that clash, joins that must not be broadcast."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,38 @@ def test_the_contour_query_joins_undershoots(spark, monkeypatch):
     rows = [(0, 0, 10, 0), (10, -1, 10, 11), (9, 10, 0, 10), (0, 11, 0, -1)]  # the third stops short of the second
     monkeypatch.setattr(queries, "_segs", lambda *_: lines(spark, *rows))
     assert [(r.area, r.n_vertices) for r in queries.QUERIES["apartment_contour"](spark, "").collect()] == [(100.0, 4)]
+
+
+def test_apparent_intersections_of_pairs_of_ends_that_are_only_near_are_not_shuffled(spark):
+    rng = random.Random(7)
+    rows = [(x := rng.randint(0, 60) / 4, y := rng.randint(0, 60) / 4, x + rng.randint(-9, 9) / 4, y + rng.randint(-9, 9) / 4) for _ in range(60)]
+    made = graph.apparent_intersections(lines(spark, *rows))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    counts = [sum((rows[j][0:2] == p) + (rows[j][2:4] == p) for j in range(60)) for r in rows for p in (r[0:2], r[2:4])]
+    tips = [(i, e, *r[2 * e : 2 * e + 2], *r[2 - 2 * e : 4 - 2 * e]) for i, r in enumerate(rows) for e in (0, 1) if counts[2 * i + e] == 1 and r[0:2] != r[2:4]]
+    want, ends = [], {}
+    for i, e, ax, ay, aox, aoy in tips:
+        for j, f, bx, by, box, boy in tips:
+            adx, ady, bdx, bdy = ax - aox, ay - aoy, bx - box, by - boy
+            den = adx * bdy - ady * bdx
+            if i >= j or not den or (ax - bx) ** 2 + (ay - by) ** 2 > 16:
+                continue
+            t, s = ((box - ax) * bdy - (boy - ay) * bdx) / den, ((aox - bx) * ady - (aoy - by) * adx) / -den
+            if t > 0 and s > 0 and round(t * (adx**2 + ady**2) ** 0.5, 6) <= 2 and round(s * (bdx**2 + bdy**2) ** 0.5, 6) <= 2:
+                x, y = ax + t * adx, ay + t * ady
+                want.append((i, e, j, f, round(x, 4), round(y, 4)))
+                for key, other, px, py in (((i, e), j, ax, ay), ((j, f), i, bx, by)):
+                    ends.setdefault(key, []).append((round((x - px) ** 2 + (y - py) ** 2, 5), other, round(x, 4), round(y, 4)))
+    got = sorted((r.a_id, r.a_end, r.b_id, r.b_end, round(r.x, 4), round(r.y, 4)) for r in made.collect())
+    assert got == sorted(want) and len(want) > 9
+
+
+def test_shuffle_files_of_staged_tables_go(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    before = files()
+    held = Workspace(spark, "t").stage(sums, "sums")
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and held.count() == 7
