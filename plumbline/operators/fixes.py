@@ -47,18 +47,24 @@ def extend_undershoots(lines: DataFrame, reach: float = 2.0, cell: float = 8.0)
     return checks.split_lines(moved, found.select(F.col("target").alias("id"), "x", "y").distinct())
 
 
-def meet_apparent(lines: DataFrame, reach: float = 2.0, found: DataFrame | None = None) -> DataFrame:
+def apparent_ends(lines: DataFrame, reach: float = 2.0) -> DataFrame:
+    """(id, end, x, y): where each end of apparent intersections goes: to the nearest, then to that of the least line; staged."""
+    found = graph._apparent(lines, reach)
+    far = lambda s: F.round(F.pow(F.col("x") - F.col(f"{s}_x"), 2) + F.pow(F.col("y") - F.col(f"{s}_y"), 2), 6)
+    one = lambda s, o: F.struct(
+        F.col(f"{s}_id").alias("id"), F.col(f"{s}_end").alias("end"), F.struct(far(s).alias("far"), F.col(f"{o}_id").alias("other"), "x", "y").alias("p")
+    )
+    each = found.select(F.inline(F.array(one("a", "b"), one("b", "a"))))
+    best = each.groupBy("id", "end").agg(F.min("p").alias("p")).select("id", "end", "p.x", "p.y")
+    return Workspace(lines.sparkSession, "apparent").stage(best, "best")
+
+
+def meet_apparent(lines: DataFrame, reach: float = 2.0, best: DataFrame | None = None) -> DataFrame:
     """Both ends of each apparent intersection moved to it; an end that has several takes the nearest, then the least.
 
-    ``found`` holds the intersections if they are known already.
+    ``best`` holds the ``apparent_ends`` if they are known already.
     """
-    found = graph.apparent_intersections(lines, reach) if found is None else found
-    one = lambda s, o: found.select(F.col(f"{s}_id").alias("id"), F.col(f"{s}_end").alias("end"), "x", "y", F.col(f"{o}_id").alias("other"))
-    tips = graph.ends(lines, g.POINT_TOLERANCE).select("id", "end", F.col("x").alias("px"), F.col("y").alias("py"))
-    each = one("a", "b").union(one("b", "a")).join(joins.large(tips), ["id", "end"])
-    far = F.round(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2), 6)
-    best = each.groupBy("id", "end").agg(F.min_by(F.struct("x", "y"), F.struct(far, "other")).alias("p"))
-    return checks.extend_lines(lines, best.select("id", "end", "p.x", "p.y"))
+    return checks.extend_lines(lines, apparent_ends(lines, reach) if best is None else best)
 
 
 def insert_vertices(rings: DataFrame, points: DataFrame) -> DataFrame:

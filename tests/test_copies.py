@@ -239,6 +239,9 @@ def test_apparent_intersections_of_pairs_of_ends_that_are_only_near_are_not_shuf
                     ends.setdefault(key, []).append((round((x - px) ** 2 + (y - py) ** 2, 5), other, round(x, 4), round(y, 4)))
     got = sorted((r.a_id, r.a_end, r.b_id, r.b_end, round(r.x, 4), round(r.y, 4)) for r in made.collect())
     assert got == sorted(want) and len(want) > 9
+    best = {k: min(v)[2:] for k, v in ends.items()}
+    found = fixes.apparent_ends(lines(spark, *rows))
+    assert {(r.id, r.end): (round(r.x, 4), round(r.y, 4)) for r in found.collect()} == best and any(len(v) > 1 for v in ends.values())
 
 
 def test_shuffle_files_of_staged_tables_go(spark):
