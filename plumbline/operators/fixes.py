@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.functions import tiles as tiles_of
 from plumbline.operators import checks, graph, joins
 from plumbline.sources.staging import Workspace
 
@@ -39,6 +42,60 @@ def break_until_clean(lines: DataFrame, cell: float = 8.0) -> DataFrame:
     return by.select("id", F.posexplode("ps").alias("piece", "p")).select("id", "piece", "p.x1", "p.y1", "p.x2", "p.y2")
 
 
+#: Lines of a tile, on average, when lines are short; rounds that a tile goes through with what lies around it.
+TILE_LINES, TILE_ROUNDS = 30_000, 3
+
+
+def pieces_when_clean(lines: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(id, n_pieces): pieces of each line that ``break_until_clean`` leaves.
+
+    A tile has the lines that begin in it and all within as many lengths of the
+    longest as there are rounds, so the former are cut there as they would be among
+    all; neither crossings nor pieces are written.  Lines as long as the drawing, or
+    more rounds, take the way of ``break_until_clean``.
+    """
+    work = Workspace(lines.sparkSession, "tiles")
+    c = F.col
+    somewhere = F.coalesce(F.abs(c("x1") + c("y1") + c("x2") + c("y2")) < float("inf"), F.lit(False))
+    every, nowhere, lines = lines, lines.where(~somewhere & c("id").isNotNull()), lines.where(somewhere)  # the former meets nothing
+    low, high = (lambda k: F.least(f"{k}1", f"{k}2")), (lambda k: F.greatest(f"{k}1", f"{k}2"))
+    size = F.greatest(high("x") - low("x"), high("y") - low("y"))
+    n, x0, y0, x1, y1, long = lines.agg(
+        F.count(F.lit(1)), F.min(low("x")), F.min(low("y")), F.max(high("x")), F.max(high("y")), F.max(size)
+    ).first()
+    whole = lambda: break_until_clean(every, cell).groupBy("id").agg(F.count(F.lit(1)).alias("n_pieces"))
+    if not n:
+        return whole()
+    long += 1e-3
+    area = (x1 - x0 + long) * (y1 - y0 + long)
+    side = max((area * TILE_LINES / n) ** 0.5, 8 * long)
+    if n * min(area, (side + 2 * TILE_ROUNDS * long) ** 2) / area > 20 * TILE_LINES:
+        return whole()
+    at = lambda x: F.floor(x / side)
+    tiles = [F.sequence(at(low(k) - TILE_ROUNDS * long), at(high(k) + TILE_ROUNDS * long)) for k in "xy"]
+    spread = lines.select("id", "x1", "y1", "x2", "y2", at(low("x")).alias("ox"), at(low("y")).alias("oy"), tiles[1].alias("ys"), F.explode(tiles[0]).alias("tx"))
+    spread = spread.withColumn("ty", F.explode("ys")).select("tx", "ty", ((c("tx") == c("ox")) & (c("ty") == c("oy"))).alias("owned"), "id", "x1", "y1", "x2", "y2")
+    kinds = "id long, owned boolean, " + ", ".join(f"n{k} long" for k in range(TILE_ROUNDS))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        owned = table.column("owned").to_numpy()
+        if not owned.any():
+            return pa.table({f: pa.array([], t) for f, t in fields})
+        met, pieces = tiles_of.rounds(tuple(table.column(k).to_numpy() for k in ("x1", "y1", "x2", "y2")), owned, TILE_ROUNDS)
+        ids = np.append(table.column("id").to_numpy()[owned], 0)
+        rows = [ids, np.append(np.ones(owned.sum(), bool), False), *[np.append(p[owned], m) for p, m in zip(pieces, met, strict=True)]]
+        return pa.table({f: pa.array(r, t) for (f, t), r in zip(fields, rows, strict=True)})
+
+    fields = [("id", pa.int64()), ("owned", pa.bool_()), *[(f"n{k}", pa.int64()) for k in range(TILE_ROUNDS)]]
+    found = work.stage(spread.groupBy("tx", "ty").applyInArrow(run, kinds), "found")
+    met = found.where("NOT owned").agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(TILE_ROUNDS)]).first()
+    for k in range(TILE_ROUNDS):
+        if not met[k] or (k and met[k] == met[k - 1]):
+            return found.where("owned").union(nowhere.select("id", F.lit(True), *[F.lit(1)] * TILE_ROUNDS)).groupBy("id").agg(F.sum(f"n{k}").alias("n_pieces"))
+    return whole()
+
+
 def extend_undershoots(lines: DataFrame, reach: float = 2.0, cell: float = 8.0) -> DataFrame:
     """(id, piece, x1, y1, x2, y2): dangling ends moved onto the line they nearly meet, which is split there."""
     work = Workspace(lines.sparkSession, "undershoots")

@@ -253,3 +253,20 @@ def test_shuffle_files_of_staged_tables_go(spark):
     while files() > before and time.time() < until:
         time.sleep(0.1)
     assert files() <= before and held.count() == 7
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_pieces_are_counted_by_tile_as_by_rounds(spark, monkeypatch, long):
+    rng = random.Random(11)
+    at = lambda: rng.randint(0, 160) / 4
+    rows = [(x := at(), y := at(), x + rng.randint(-12, 12) / 4, y + rng.randint(-12, 12) / 4) for _ in range(250)]
+    rows += [(5, 5, 7, 5), (6, 5, 8, 5), (6, 5, 6, 5), (6, 5, 6, 7), (5, 5, 7, 5), (5, 5, 7, 5.0000005), (20, 5, 20.0000001, 9), (20, 6, 20, 11), (19, 7, 21, 7)]
+    rows += [(-1, -1, 41, 40)] if long else []
+    own = lines(spark, *rows).unionByName(spark.createDataFrame([(900, None, 1.0, 1.0, 1.0)], "id long, x1 double, y1 double, x2 double, y2 double"))
+    want = {r.id: r.n for r in fixes.break_until_clean(own).groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    monkeypatch.setattr(fixes, "TILE_LINES", 2 if long else 20)
+    staged, stage = [], Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, label: staged.append(label) or stage(self, df, label))
+    got = {r.id: r.n_pieces for r in fixes.pieces_when_clean(own).collect()}
+    assert got == want and len(got) == len(rows) + 1 and max(got.values()) > 3
+    assert (staged == ["found"]) != long  # without long lines nothing but the counts is written
