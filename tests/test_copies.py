@@ -270,3 +270,13 @@ def test_pieces_are_counted_by_tile_as_by_rounds(spark, monkeypatch, long):
     got = {r.id: r.n_pieces for r in fixes.pieces_when_clean(own).collect()}
     assert got == want and len(got) == len(rows) + 1 and max(got.values()) > 3
     assert (staged == ["found"]) != long  # without long lines nothing but the counts is written
+
+
+def test_tables_behind_faces_go_once_read(spark, monkeypatch):
+    made, gone, stage, drop = [], [], Workspace.stage, Workspace.drop
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, label: made.append(label) or stage(self, df, label))
+    monkeypatch.setattr(Workspace, "drop", lambda self, *tables: gone.extend(t._staged_at.rsplit("-", 1)[1] for t in tables) or drop(self, *tables))
+    square_ = lines(spark, (0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0), (4, 4, 6, 6))
+    assert sorted(r.id for r in graph.in_loops(square_).collect()) == [0, 1, 2, 3]
+    assert {"met", "pieces", "noded", "left", "core"} <= set(gone) & set(made)
+    assert [(r.area, r.n_vertices) for r in polygons.polygonized(square_).collect()] == [(16.0, 4)] and gone.count("met") == 2
